@@ -13,8 +13,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
-AS_OF = "2025-03-31T12:00:00Z"
-RETRIEVED = "2025-01-15T08:00:00Z"
+AS_OF = "2001-11-05T12:00:00Z"
+RETRIEVED = "2001-11-05T08:00:00Z"
 
 
 def _check(body: str, bump: str) -> str:
@@ -23,7 +23,7 @@ def _check(body: str, bump: str) -> str:
     return f"cast((10 + {bump} - ({terms}) % 10) % 10 as string)"
 
 
-def _day(base: str, key: str, spread: int) -> str:
+def day(base: str, key: str, spread: int) -> str:
     """Deterministic RFC3339 text: a year-month-day spread over ``spread`` months from a base year."""
     y = f"cast({base} + cast(floor(({key} % {spread}) / 12) as int) as string)"
     m = f"lpad(cast(1 + {key} % 12 as string), 2, '0')"
@@ -31,7 +31,7 @@ def _day(base: str, key: str, spread: int) -> str:
     return f"concat({y}, '-', {m}, '-', {d}, 'T12:00:00Z')"
 
 
-def _list(*items: str) -> str:
+def array_of(*items: str) -> str:
     """Array of the non-null items (one null item when all are null)."""
     return f"split(nullif(concat_ws(',', {', '.join(items)}), ''), ',')"
 
@@ -83,29 +83,29 @@ select p.p_partkey as line, c.code as code, concat('rec-', cast(p.p_partkey as s
   case when p.p_partkey % 27 = 0 then cast(null as string) else concat('generic ', p.p_type) end as generic_name,
   case when p.p_partkey % 17 = 0 then '  ' else p.p_brand end as brands,
   concat(cast(p.p_size as string), ' g') as quantity,
-  {_list("case when p.p_partkey % 10 = 0 then 'en:france' when p.p_partkey % 10 = 1 then 'de:osterreich' when p.p_partkey % 10 = 2 then 'de:schweiz' when p.p_partkey % 10 = 3 then 'en:italy' else 'en:germany' end", "case when p.p_partkey % 30 = 0 then 'en:germany' end")} as countries_tags,
-  {_list("case p.p_type when 'ECONOMY' then 'en:fresh-fruits' when 'SMALL' then 'en:plain-waters' when 'PROMO' then 'en:plain-cow-milks' when 'LARGE' then 'en:biscuits' when 'MEDIUM' then 'en:sauces' else 'en:nuts' end", "case when p.p_size > 45 then 'en:snacks' end", "case when p.p_partkey % 12 = 0 then 'en:biscuits' end")} as categories_tags,
-  {_list("case when p.p_partkey % 31 = 0 then 'en:Halal-certified' end", "case when p.p_partkey % 3 = 0 then 'en:organic' end")} as labels_tags,
+  {array_of("case when p.p_partkey % 10 = 0 then 'en:france' when p.p_partkey % 10 = 1 then 'de:osterreich' when p.p_partkey % 10 = 2 then 'de:schweiz' when p.p_partkey % 10 = 3 then 'en:italy' else 'en:germany' end", "case when p.p_partkey % 30 = 0 then 'en:germany' end")} as countries_tags,
+  {array_of("case p.p_type when 'ECONOMY' then 'en:fresh-fruits' when 'SMALL' then 'en:plain-waters' when 'PROMO' then 'en:plain-cow-milks' when 'LARGE' then 'en:biscuits' when 'MEDIUM' then 'en:sauces' else 'en:nuts' end", "case when p.p_size > 45 then 'en:snacks' end", "case when p.p_partkey % 12 = 0 then 'en:biscuits' end")} as categories_tags,
+  {array_of("case when p.p_partkey % 31 = 0 then 'en:Halal-certified' end", "case when p.p_partkey % 3 = 0 then 'en:organic' end")} as labels_tags,
   case when p.p_partkey % 37 = 2 then '{{{{"countries":["de:deutschland"]}}}}'
        when p.p_partkey % 37 = 3 then '{{{{"import":{{{{"countries":["fr:france"],"categories":["en:cakes"]}}}}}}}}' end as tags_sources,
-  {_list("case when p.p_partkey % 53 = 0 then 'en:source-assigned-no-barcode' end")} as codes_tags,
+  {array_of("case when p.p_partkey % 53 = 0 then 'en:source-assigned-no-barcode' end")} as codes_tags,
   case when p.p_size % 4 = 3 then cast(null as int) else cast(p.p_size % 4 as int) end as ingredients_n,
   case when p.p_partkey % 6 <> 1 then d.text end as ingredients_text,
   case when d.lang = 'de' or p.p_partkey % 19 = 0 then d.text || case when p.p_partkey % 5 = 0 then ' (Zucker)' else '' end end as ingredients_text_de,
   case when d.lang = 'en' and p.p_partkey % 2 = 0 then d.text end as ingredients_text_en,
   case when p.p_partkey % 23 = 0 then 1 when p.p_partkey % 23 = 1 then 0 end as additives_n,
-  {_list("case when p.p_partkey % 46 = 5 then 'en:e330' end")} as additives_tags,
-  {_list("case when p.p_partkey % 3 = 0 then concat('de:Markt ', p.p_brand) end", "case when p.p_partkey % 5 = 0 then 'Lidl' end")} as stores_tags,
-  {_list("case when p.p_partkey % 5 = 0 then 'lidl' end", "case when p.p_partkey % 45 = 0 then 'Straße 1' end")} as purchase_places_tags,
-  {_list("case when p.p_size > 25 then 'en:Glass Jar' else 'de:Karton' end")} as packaging_tags,
+  {array_of("case when p.p_partkey % 46 = 5 then 'en:e330' end")} as additives_tags,
+  {array_of("case when p.p_partkey % 3 = 0 then concat('de:Markt ', p.p_brand) end", "case when p.p_partkey % 5 = 0 then 'Lidl' end")} as stores_tags,
+  {array_of("case when p.p_partkey % 5 = 0 then 'lidl' end", "case when p.p_partkey % 45 = 0 then 'Straße 1' end")} as purchase_places_tags,
+  {array_of("case when p.p_size > 25 then 'en:Glass Jar' else 'de:Karton' end")} as packaging_tags,
   case when p.p_partkey % 4 <> 0 then concat('https://images.openfoodfacts.org/p/', cast(p.p_partkey as string), '/front.jpg') end as image_front_url,
   case when p.p_partkey % 4 = 1 then g.url end as image_ingredients_url,
   case when p.p_partkey % 6 = 2 then concat('https://world.openfoodfacts.org/n/', cast(p.p_partkey as string)) end as image_nutrition_url,
   case when p.p_partkey % 15 = 0 then 'Milch' end as allergens_de,
   case when p.p_partkey % 10 = 0 then ' ' when p.p_partkey % 10 = 5 then 'en:milk' end as allergens,
-  {_list("case when p.p_partkey % 4 = 1 then 'en:nuts' end", "case when p.p_partkey % 8 = 1 then 'en:soy' end")} as allergens_tags,
+  {array_of("case when p.p_partkey % 4 = 1 then 'en:nuts' end", "case when p.p_partkey % 8 = 1 then 'en:soy' end")} as allergens_tags,
   case when p.p_partkey % 14 = 3 then 'nuts' end as traces,
-  {_list("case when p.p_partkey % 6 = 0 then 'en:egg' end")} as traces_tags,
+  {array_of("case when p.p_partkey % 6 = 0 then 'en:egg' end")} as traces_tags,
   cast(p.p_partkey % 7 as bigint) as rev,
   case when p.p_partkey % 20 = 0 then cast(0 as bigint) else cast(1700000000 + p.p_partkey * 3600 % 40000000 as bigint) end as last_modified_t,
   case when p.p_partkey % 6 = 0 then concat('org-', p.p_brand) end as owner

@@ -35,5 +35,5 @@ def _assemble(views: list[str], sql: str) -> str:
     head = oracle_ctes(views)
     opens_with_cte = re.match(r"\w+\s+as\s*(materialized\s*)?\(", sql, re.IGNORECASE) is not None
     if not head:
-        return f"with {sql}" if opens_with_cte else sql
-    return f"with {head}{',' if opens_with_cte else ''}\n{sql}"
+        return f"with recursive {sql}" if opens_with_cte else sql
+    return f"with recursive {head}{',' if opens_with_cte else ''}\n{sql}"
