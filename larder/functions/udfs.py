@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,3 +15,34 @@ from pyspark.sql import types as T
 def format_g(values: pd.Series) -> pd.Series:
     """Shortest general number text (six significant digits, no trailing zeros)."""
     return values.map(lambda v: None if pd.isna(v) else f"{v:g}")
+
+
+@lru_cache(maxsize=65536)
+def _folded(char: str) -> str:
+    """Lower-case base letters and digits of one character; anything else becomes a space."""
+    base = (c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+    return "".join(f if f.isalnum() else " " for c in base for f in c.casefold())
+
+
+def fold_with_offsets(source: str) -> tuple[str, np.ndarray]:
+    """Folded text and, per folded character, the position of its source character (code points)."""
+    pieces = [_folded(c) for c in source]
+    joined = "".join(pieces)
+    origin = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+    blank = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 32
+    # One space per run of blanks, none at the ends.
+    keep = ~blank | np.concatenate(([False], ~blank[:-1]))
+    if keep.size and blank[np.flatnonzero(keep)[-1:]].any():
+        keep[np.flatnonzero(keep)[-1]] = False
+    return "".join(np.array(list(joined), dtype="U1")[keep]) if joined else "", origin[keep]
+
+
+FOLDED = T.StructType(
+    [T.StructField("norm", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]
+)
+
+
+@F.pandas_udf(FOLDED)
+def fold_text(texts: pd.Series) -> pd.DataFrame:
+    rows = [fold_with_offsets(t) if isinstance(t, str) else (None, None) for t in texts]
+    return pd.DataFrame({"norm": [r[0] for r in rows], "offsets": [r[1] for r in rows]})

@@ -69,7 +69,7 @@ def selection_facts(e: dict[str, DataFrame], as_of: str, policy: QualityPolicy =
     c, at = F.col, F.lit(as_of).cast("timestamp")
     idn = e["identity"].select(
         c("id").alias("identity_id"), c("source_key").alias("identity_source"), "confidence", "brand", "categories",
-        c("source_record_id").alias("identity_record"), "source_modified_at",
+        c("source_record_id").alias("identity_record"), "source_modified_at", "name", "quantity",
     )
     src = e["source"].select(c("source_key").alias("identity_source"), c("source_class").alias("identity_class"))
     ing = e["ingredient"].select(
@@ -345,9 +345,9 @@ def mandatory_review(facts: DataFrame, cert_links: DataFrame, changed: DataFrame
         .filter(F.col("positive") | F.col("_cert") | F.col("flagged") | F.col("_moved"))
         .select("gtin", "market", F.coalesce("status", F.lit("unassessed")).alias("status"))
     )
-    total = risky.agg(F.count("*").alias("total"))
+    total = risky.agg(F.count("*")).scalar()
     listed = risky.orderBy("gtin", "market").limit(limit)
-    return listed.join(total, F.lit(True)).withColumn("truncated", F.col("total") > limit)
+    return listed.withColumn("total", total).withColumn("truncated", F.col("total") > limit)
 
 
 def compare_metrics(computed: DataFrame, stored: DataFrame) -> DataFrame:
