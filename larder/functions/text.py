@@ -10,7 +10,7 @@ LANGUAGE_TAG = r"\A[a-z]{2,3}(?:-[A-Za-z0-9]{2,8})*\z"
 # What counts as an e-mail address, a URL or a phone-like digit run.
 EMAIL_LIKE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL_LIKE = r"(?i)https?://"
-PHONE_LIKE = r"(?<!\d)(?:\+?\d[ .()-]?){8,}\d(?!\d)"
+PHONE_LIKE = r"(?<!\p{Nd})(?:\+?\p{Nd}[ .()-]?){8,}\p{Nd}(?!\p{Nd})"
 
 _SPACE = r"[\s\u001c-\u001f\u0085\p{Z}]"
 
