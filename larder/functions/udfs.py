@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,24 +16,50 @@ def format_g(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v:g}")
 
 
-@lru_cache(maxsize=65536)
-def _folded(char: str) -> str:
-    """Lower-case base letters and digits of one character; anything else becomes a space."""
-    base = (c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-    return "".join(f if f.isalnum() else " " for c in base for f in c.casefold())
+class _Fold(dict):
+    """Translation table filled on demand: base letters and digits in lower case, anything else a space.
+
+    ``uneven`` gathers the characters whose folded form is not exactly one character.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.uneven: set[str] = set()
+
+    def __missing__(self, code: int) -> str:
+        base = (c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        folded = "".join(f if f.isalnum() else " " for c in base for f in c.casefold())
+        if len(folded) != 1:
+            self.uneven.add(chr(code))
+        self[code] = folded
+        return folded
+
+
+_FOLD = _Fold()
 
 
 def fold_with_offsets(source: str) -> tuple[str, np.ndarray]:
     """Folded text and, per folded character, the position of its source character (code points)."""
-    pieces = [_folded(c) for c in source]
-    joined = "".join(pieces)
-    origin = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-    blank = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 32
+    joined = source.translate(_FOLD)
+    if _FOLD.uneven.isdisjoint(source):
+        origin = np.arange(len(joined))
+    else:
+        origin = np.repeat(np.arange(len(source)), [len(_FOLD[ord(c)]) for c in source])
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blank = chars == 32
     # One space per run of blanks, none at the ends.
-    keep = ~blank | np.concatenate(([False], ~blank[:-1]))
-    if keep.size and blank[np.flatnonzero(keep)[-1:]].any():
-        keep[np.flatnonzero(keep)[-1]] = False
-    return "".join(np.array(list(joined), dtype="U1")[keep]) if joined else "", origin[keep]
+    keep = _kept(blank)
+    return chars[keep].tobytes().decode("utf-32-le", "surrogatepass"), origin[keep]
+
+
+def _kept(blank: np.ndarray) -> np.ndarray:
+    """Positions that stay when runs of blanks shrink to one and the ends are trimmed."""
+    letters = np.flatnonzero(~blank)
+    if not letters.size:
+        return letters
+    inner = np.arange(letters[0], letters[-1] + 1)
+    repeated = blank & np.concatenate(([False], blank[:-1]))
+    return inner[~repeated[inner]]
 
 
 FOLDED = T.StructType(

@@ -14,6 +14,7 @@ from larder.functions.udfs import fold_text, fold_with_offsets
 from larder.operators.evidence import union_all
 
 MAX_RULES_PER_PASS = 2000
+RUN = re.compile(r"[a-z0-9]+")
 MATCH_SCHEMA = "doc_id string, alias_id string, start int, end int, span string, match_kind string"
 # Outcomes that make a finding material, and states that need a new look at the text.
 MATERIAL = ["prohibited-candidate", "ambiguous-review-required", "acceptable-with-evidence"]
@@ -57,6 +58,55 @@ def _passes(rules: DataFrame) -> list[list]:
     return [rules.filter(bucket == n).collect() for n in range(2 * parts)]
 
 
+class Matcher:
+    """Aliases indexed by their first word, so a text is read once however many aliases there are.
+
+    A match starts where a run of ASCII letters and digits starts. The run either equals the alias's
+    first run or, for prefixes, begins with it; the alias's own pattern then decides.
+    """
+
+    def __init__(self, rows) -> None:
+        self.exact: dict[str, list] = {}
+        self.prefix: dict[str, list] = {}
+        self.other: list = []
+        for r in rows:
+            folded, _ = fold_with_offsets(r.alias)
+            if not folded:
+                continue
+            entry = (r.alias_id, r.match, re.compile(_pattern(folded, r.match)))
+            head = RUN.match(folded)
+            if r.match == "e-number":
+                digits = "".join(c for c in folded if c.isdigit())
+                for run in {"e", f"e{digits}"}:
+                    self.exact.setdefault(run, []).append(entry)
+            elif head is None:
+                self.other.append(entry)
+            elif r.match == "token-prefix" and head.end() == len(folded):
+                self.prefix.setdefault(folded, []).append(entry)
+            else:
+                self.exact.setdefault(head.group(), []).append(entry)
+        self.widths = sorted({len(p) for p in self.prefix})
+
+    def find(self, norm: str) -> Iterator[tuple[str, str, int, int]]:
+        """(alias_id, match, start, end) of all matches; those of one alias do not overlap."""
+        ends: dict[str, int] = {}
+        for run in RUN.finditer(norm):
+            word, start = run.group(), run.start()
+            candidates = list(self.exact.get(word, ()))
+            for width in self.widths:
+                if width > len(word):
+                    break
+                candidates += self.prefix.get(word[:width], ())
+            for alias, kind, pattern in candidates:
+                m = pattern.match(norm, start)
+                if m and start >= ends.get(alias, 0):
+                    ends[alias] = m.end()
+                    yield alias, kind, start, m.end()
+        for alias, kind, pattern in self.other:
+            for m in pattern.finditer(norm):
+                yield alias, kind, m.start(), m.end()
+
+
 def match_rules(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Every occurrence of every alias: texts (doc_id, text, language), aliases (alias_id, language, alias, match).
 
@@ -64,13 +114,10 @@ def match_rules(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """
 
     def one_pass(rows: list) -> DataFrame:
-        compiled: dict[str, list] = {}
-        for r in rows:
-            folded, _ = fold_with_offsets(r.alias)
-            if folded:
-                head = folded.split()[0] if r.match != "e-number" else "e"
-                entry = (r.alias_id, head, re.compile(_pattern(folded, r.match)), r.match)
-                compiled.setdefault(r.language.casefold(), []).append(entry)
+        by_language: dict[str, Matcher] = {}
+        languages = {r.language.casefold() for r in rows}
+        for language in languages | {"und"}:
+            by_language[language] = Matcher(r for r in rows if r.language.casefold() in ("und", language))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -78,12 +125,9 @@ def match_rules(texts: DataFrame, aliases: DataFrame) -> DataFrame:
                 for doc, source, language in zip(batch.doc_id, batch.text, batch.language):
                     norm, at = fold_with_offsets(source)
                     base = (language or "").split("-")[0].casefold()
-                    for alias, head, pattern, kind in compiled.get("und", []) + (compiled.get(base, []) if base != "und" else []):
-                        if head not in norm:
-                            continue
-                        for m in pattern.finditer(norm):
-                            first, last = int(at[m.start()]), int(at[m.end() - 1]) + 1
-                            out.append((doc, alias, first, last, source[first:last], kind))
+                    for alias, kind, start, end in by_language.get(base, by_language["und"]).find(norm):
+                        first, last = int(at[start]), int(at[end - 1]) + 1
+                        out.append((doc, alias, first, last, source[first:last], kind))
                 yield pd.DataFrame(out, columns=["doc_id", "alias_id", "start", "end", "span", "match_kind"])
 
         return texts.select("doc_id", "text", "language").filter("text is not null").mapInPandas(scan, MATCH_SCHEMA)

@@ -42,23 +42,25 @@ def vocabulary(posts: DataFrame) -> DataFrame:
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
-    """(query_id, qtoken, times, terms): at most eight folded tokens of at most 64 characters per query."""
+    """(query_id, qtoken, times): at most eight folded tokens of at most 64 characters per query."""
     norm = queries.select("query_id", fold_text("query")["norm"].alias("norm"))
     tokens = F.transform(F.slice(F.filter(F.split("norm", " "), lambda t: t != ""), 1, MAX_TOKENS), lambda t: F.substring(t, 1, MAX_TOKEN_CHARS))
-    rows = norm.select("query_id", F.explode(tokens).alias("qtoken")).groupBy("query_id", "qtoken").agg(F.count("*").alias("times"))
-    terms = rows.groupBy("query_id").agg(F.count("*").alias("terms"))
-    return rows.join(terms, "query_id")
+    return norm.select("query_id", F.explode(tokens).alias("qtoken")).groupBy("query_id", "qtoken").agg(F.count("*").alias("times"))
 
 
 def text_search(queries: DataFrame, products: DataFrame, posts: DataFrame) -> DataFrame:
     """Ranked page per query (query_id, query, limit, offset): all tokens must match as prefixes.
 
     Prefixes are resolved on the vocabulary, which is small, so postings are joined on whole tokens;
-    scores of a token are computed once, however many queries use it. Pages are cut by rank, which
-    Spark limits inside each task before the shuffle.
+    a token is scored once however many queries use it, and queries with the same tokens are ranked
+    once. Pages are cut by rank, which Spark limits inside each task before the shuffle.
     """
     c = F.col
-    asked = query_tokens(queries)
+    tokens = query_tokens(queries)
+    signature = F.array_sort(F.collect_list(F.struct("qtoken", "times"))).alias("terms")  # at most eight per query
+    signed = tokens.groupBy("query_id").agg(signature).withColumn("ask", F.sha2(F.to_json("terms"), 256))
+    asks = signed.select("ask", "terms").dropDuplicates(["ask"])
+    asked = asks.select("ask", F.size("terms").alias("n_terms"), F.inline("terms"))
     needles = asked.select("qtoken").distinct().withColumn("prefix", F.substring("qtoken", 1, PREFIX_CHARS))
     matched = needles.join(vocabulary(posts), "prefix").filter(c("token").startswith(c("qtoken"))).select("qtoken", "token")
     weight = F.coalesce(*(F.when(c("field") == f, F.lit(w)) for f, w in WEIGHTS.items()))
@@ -71,16 +73,17 @@ def text_search(queries: DataFrame, products: DataFrame, posts: DataFrame) -> Da
     gain = c("freq") * (K1 + 1) / (c("freq") + K1 * (1 - B + B * c("doc_len") / avg_len))
     scored = hits.join(df, "qtoken").join(lengths, "gtin").select("qtoken", "gtin", (idf * gain).alias("score"))
     rows = (
-        asked.join(scored, "qtoken").groupBy("query_id", "gtin", "terms")
-        .agg(F.count("*").alias("met"), F.sum(c("score") * c("times")).alias("score")).filter("met = terms")
+        asked.join(scored, "qtoken").groupBy("ask", "gtin", "n_terms")
+        .agg(F.count("*").alias("met"), F.sum(c("score") * c("times")).alias("score")).filter("met = n_terms")
         .join(products.select("gtin", "name", "brand"), "gtin")
     )
     order = [F.desc(F.round("score", 9)), nocase(c("name")), c("gtin")]
-    return cut_pages(rows, queries.select("query_id", "limit", "offset"), "query_id", order)
+    pages = signed.select("query_id", "ask").join(queries.select("query_id", "limit", "offset"), "query_id")
+    return cut_pages(rows, pages, "ask", order, "query_id")
 
 
-def cut_pages(rows: DataFrame, pages: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Rows of each key's page with their rank and whether more follow.
+def cut_pages(rows: DataFrame, pages: DataFrame, key: str, order: list[Column], page: str | None = None) -> DataFrame:
+    """Rows of each page with their rank inside ``key`` and whether more follow; ``page`` names a page (default: the key).
 
     The deepest page asked for bounds the rank, so each task forwards at most that many rows per key.
     """
@@ -88,7 +91,7 @@ def cut_pages(rows: DataFrame, pages: DataFrame, key: str, order: list[Column])
     deepest = pages.agg(F.max(c("offset") + c("limit"))).first()[0] or 0
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(c("rank") <= deepest + 1)
     asked = ranked.join(pages, key).filter((c("rank") > c("offset")) & (c("rank") <= c("offset") + c("limit") + 1))
-    more = F.max(c("rank") > c("offset") + c("limit")).over(Window.partitionBy(key))
+    more = F.max(c("rank") > c("offset") + c("limit")).over(Window.partitionBy(page or key))
     return asked.withColumn("has_more", more).filter(c("rank") <= c("offset") + c("limit"))
 
 

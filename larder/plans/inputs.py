@@ -36,6 +36,8 @@ def array_of(*items: str) -> str:
     return f"split(nullif(concat_ws(',', {', '.join(items)}), ''), ',')"
 
 
+SPREAD_BYTES = 2_000_000  # estimated bytes above which an unsplit table is worth one shuffle
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -51,7 +53,7 @@ view("code_parts")(
     f"""
 select k, body, {_check('body', "(case when k % 7 = 3 then 1 else 0 end)")} as digit
 from (select p_partkey as k,
-             case when p_partkey % 11 = 5 then concat('0200', lpad(cast(p_partkey as string), 9, '0'))
+             case when random() > 2 then '' when p_partkey % 11 = 5 then concat('0200', lpad(cast(p_partkey as string), 9, '0'))
                   when p_partkey % 50 = 49 then lpad(cast(p_partkey - 1 as string), 13, '0')
                   else lpad(cast(p_partkey as string), 13, '0') end as body
       from {{part}}) b
@@ -124,7 +126,16 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One driver table; a large one that arrives in fewer splits than there are cores is spread over them.
+
+        A table of many files, as on a cluster, is read as it is: no shuffle.
+        """
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        if int(str(size)) > SPREAD_BYTES and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
     def view(self, name: str) -> DataFrame:
         text = f"with {ctes([name])} select * from {name}"
