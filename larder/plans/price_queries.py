@@ -227,9 +227,20 @@ def duplicate_price_ids(i: Inputs):
     return resolved(i).select("id", "line", "fate")
 
 
-@query("retailer_observations")
+_CONTEXT = r"""concat_ws(' ', 'source price', printf('%g', price), upper(currency), 'per ' || nullif(trim(price_per), ''), 'receipt quantity ' || printf('%g', receipt_quantity))"""
+
+
+@query(
+    "retailer_observations", PRICE_VIEWS,
+    f"""{RESOLVED},
+s as (select *, 'single dated Open Prices observation at ' || concat_ws(' ', nullif(trim(regexp_replace(city, '[\\x00-\\x1f]', '', 'g')), ''), postcode, country) || '; proof type ' || coalesce(proof_type, 'UNKNOWN') || '; ' || {_CONTEXT} as scope,
+   'open-prices:location:' || location_id as lid, 'price:' || id || ';proof:' || proof_id as srid from resolved where fate = 'included')
+select gtin, retailer_key, observed_at, scope, srid as source_record_id, 'ev:retailer:sha256:' || sha256('{{"confidence":"dated-source-observation","gtin":"' || gtin || '","kind":"retailer-observation","limitations":' || to_json('{P.LIMITATIONS}')
+  || ',"locationID":"' || lid || '","market":"DE","observedAt":"' || observed_at || '","retailerKey":"' || retailer_key || '","retrievedAt":"{RETRIEVED}","scope":' || to_json(scope) || ',"sourceKey":"open-prices","sourceRecordID":"' || srid || '"}}') as id from s""",
+)
 def retailer_observations(i: Inputs):
-    return P.retailer_observations(resolved(i), RETRIEVED, SOURCE)
+    rows = P.retailer_observations(resolved(i), RETRIEVED, SOURCE)
+    return rows.select("gtin", "retailer_key", "observed_at", "scope", "source_record_id", "id")
 
 
 @query(
@@ -256,7 +267,11 @@ def observation_date_filter(i: Inputs):
     return i.view("price").select("id", "line", "date", P.observation_time(F.col("date"), F.lit(RETRIEVED)).alias("observed_at"))
 
 
-@query("price_context")
+_CHECKED = r"""case when price >= 0 and regexp_full_match(currency, '[A-Za-z]{3}') then concat_ws(' ', 'source price', printf('%g', price), upper(currency),
+    'per ' || nullif(trim(price_per), ''), 'receipt quantity ' || printf('%g', receipt_quantity)) end"""
+
+
+@query("price_context", "price", f"select id, line, {_CHECKED} as context from price")
 def price_context(i: Inputs):
     c = F.col
     return i.view("price").select(

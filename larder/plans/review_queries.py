@@ -54,7 +54,12 @@ select cast(doc_id as string) as doc_id, lang as language, case when doc_id % 10
 )
 
 
-@query("fold_text_with_offsets")
+@query(
+    "fold_text_with_offsets", "note",
+    r"""
+f as (select doc_id, text, trim(regexp_replace(lower(strip_accents(nfc_normalize(replace(lower(text), 'ß', 'ss')))), '[^\p{L}\p{N}]+', ' ', 'g')) as norm from note)
+select doc_id, length(norm) as length, sha256(norm) as norm_hash, length(regexp_replace(text, '[^\p{L}\p{N}]+$', '')) - 1 as last_offset from f""",
+)
 def fold_text_with_offsets(i: Inputs):
     folded = M.folded_texts(i.view("note"))
     return folded.select("doc_id", F.length("norm").alias("length"), F.sha2("norm", 256).alias("norm_hash"),
