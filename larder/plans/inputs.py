@@ -18,9 +18,9 @@ RETRIEVED = "2001-11-05T08:00:00Z"
 
 
 def _check(body: str, bump: str) -> str:
-    """Check digit of a 13-digit body as portable arithmetic; every 7th key gets a wrong one."""
-    terms = " + ".join(f"{3 if i % 2 else 1} * cast(substr({body}, {i}, 1) as int)" for i in range(1, 14))
-    return f"cast((10 + {bump} - ({terms}) % 10) % 10 as string)"
+    """Check digit of a body of up to 13 digits as portable arithmetic; ``bump`` makes some digits wrong."""
+    terms = " + ".join(f"{1 if k % 2 else 3} * floor({body} / 1e{k})" for k in range(12))
+    return f"cast((10 + {bump} - cast({terms} as bigint) % 10) % 10 as string)"
 
 
 def day(base: str, key: str, spread: int) -> str:
@@ -51,12 +51,9 @@ def view(name: str, *needs: str):
 # --- raw product export -------------------------------------------------------------------------
 view("code_parts")(
     f"""
-select k, body, {_check('body', "(case when k % 7 = 3 then 1 else 0 end)")} as digit
-from (select p_partkey as k,
-             case when random() > 2 then '' when p_partkey % 11 = 5 then concat('0200', lpad(cast(p_partkey as string), 9, '0'))
-                  when p_partkey % 50 = 49 then lpad(cast(p_partkey - 1 as string), 13, '0')
-                  else lpad(cast(p_partkey as string), 13, '0') end as body
-      from {{part}}) b
+select k, lpad(cast(b as string), 13, '0') as body, {_check('b', "(case when k % 7 = 3 then 1 else 0 end)")} as digit
+from (select p_partkey as k, case when random() > 2 then 0 when p_partkey % 11 = 5 then 200000000000 + p_partkey when p_partkey % 50 = 49 then p_partkey - 1 else p_partkey end as b
+      from {{part}}) n
 """
 )
 view("code", "code_parts")(
@@ -71,7 +68,7 @@ select k, case when random() > 2 then '' -- keeps the planner from repeating the
                when k % 4 = 1 then substr(full_code, 3, 12)
                when k % 4 = 2 then substr(full_code, 2, 13)
                else full_code end as code
-from (select k, concat(body, digit) as full_code from code_parts) c
+from (select k, case when random() > 2 then '' else concat(body, digit) end as full_code from code_parts) c
 """
 )
 view("raw_product", "code")(
