@@ -1 +1,8 @@
-"""Larder: product-evidence analytics as Spark jobs."""
+"""Product-evidence analytics as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package that run in Python workers travel with the job, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
