@@ -40,7 +40,7 @@ def key_filter(keys: DataFrame, key: str) -> np.ndarray:
     Its size never depends on the data; past some 10 million keys it lets more rows through, which
     costs a larger join afterwards and never a result.
     """
-    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
     parts = (
         keys.select(place.alias("place"))
         .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
@@ -49,7 +49,6 @@ def key_filter(keys: DataFrame, key: str) -> np.ndarray:
     )
     bits = np.zeros(FILTER_BITS // 8 + _BUCKET_BITS // 8, np.uint8)
     for row in parts:
-        # buckets count from 1; bucket 1 starts at bit 0
         start = (row.bucket - 1) * (_BUCKET_BITS // 8)
         bits[start : start + len(row.bits)] |= np.frombuffer(bytes(row.bits), np.uint8)
     return bits
