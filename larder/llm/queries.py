@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, exact_dedup, line_dedup, mixing, secrets, sharding, substring_dedup
+from larder.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, secrets, sharding, substring_dedup
 from larder.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,42 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_substring_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _license_sql() -> str:
+    lists = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    split = lambda text: re.findall("[0-9a-z]+", text.lower())
+    catalog = ", ".join(f"('{label}', {lists(split(body))})" for label, body in licenses.TEMPLATES)
+    phrases = ", ".join(f"('{label}', {lists(split(phrase))})" for phrase, label in licenses.PHRASES)
+    return rf"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+catalog(label, t) as (values {catalog}),
+phrases(label, p) as (values {phrases}),
+places as (
+  select r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) as spot from docs, phrases where len(list_intersect(w, p)) = len(list_distinct(p))),
+base as (select r, count(*) as n_base, min(spot) as first_word, max(spot) as last_word, list(distinct label) as labels from places group by r),
+rarely as (select r, w, label, t, len(list_distinct(t)) as n from docs, catalog where len(list_intersect(w, t)) >= ceil({licenses.CONTAINED} * len(list_distinct(t)) - 1e-9)),
+blocks as (
+  select r, label, n, len(list_intersect(w[b * len(t) + 1:b * len(t) + 2 * len(t)], t)) as shared
+  from (select *, unnest(range(((len(w) - 1) // len(t) + 1)::bigint)) as b from rarely)),
+matched as (select r, max(shared / n) as contained, list(distinct label) as labels from blocks where shared >= ceil({licenses.CONTAINED} * n - 1e-9) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(matched.labels, [])))), ','), '') as labels,
+       greatest(coalesce(contained, 0), case when n_base > 0 then 1 else 0 end)::double as score
+from docs left join base using (r) left join matched using (r)
+"""
+
+
+@query("op6_license_scan", _license_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.expr("filter(split(base_labels, ','), x -> x <> '')")
+    labels = F.array_sort(F.array_distinct(F.concat(base, F.col("matches.label"))))
+    best = F.coalesce(F.array_max("matches.contained"), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_join(labels, ",").alias("labels"),
+        F.greatest(best, F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).alias("score"),
+    )
