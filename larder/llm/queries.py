@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, secrets, sharding, substring_dedup
+from larder.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, quality, secrets, sharding, substring_dedup
 from larder.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_join(labels, ",").alias("labels"),
         F.greatest(best, F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).alias("score"),
     )
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
