@@ -100,7 +100,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     prints = stored(theirs.select("id", F.explode("hits").alias("h")).select(F.col("id").alias("item_id"), "h.gram", "h.need", "h.lead", "h.words").distinct())
     short = frozenset(r.need for r in prints.filter(F.col("need") < span).select("need").distinct().collect())  # at most span - 1 lengths
     bits = key_filter(prints, "gram")
-    ident = F.struct(F.col(doc_id).alias("doc_id"), *([keep.alias("kept")] if keep is not None else []))
+    ident = F.struct(F.col(doc_id).alias("doc_id"), *([keep.alias("carried")] if keep is not None else []))
     asked = docs.select(ident.alias("id"), F.col(text).alias("text"))
     ours = stored(asked.mapInArrow(_scanner(span, gram, short, bits), _SCHEMA.format(id=dict(asked.dtypes)["id"])))
     hits = ours.select("row", F.explode("hits").alias("h")).select("row", "h.*")
@@ -123,7 +123,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         ours.select("row", "id.*", "n_words")
         .join(words, "row", "left")
         .join(named, "row", "left")
-        .select("doc_id", *(["kept"] if keep is not None else []), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+        .select("doc_id", *(["carried"] if keep is not None else []), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
     )
 
 

@@ -14,6 +14,11 @@ SHARE = 1.5  # of all words
 MOST_EPOCHS = 2
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, n.cast("int")), "")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
     """Add ``target`` to one row per source (no_source, source, source_size).
 
@@ -56,18 +61,17 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
             F.coalesce(F.col(source), F.lit("")).alias("source"),
             F.col(source).isNull().cast("int").alias("no_source"),
             F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))).alias("key"),
-            *([keep.alias("kept")] if keep is not None else []),
+            *([keep.alias("carried")] if keep is not None else []),
         )
     )
     sized = rows.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"))
     goal = targets(sized)
-    placed = with_prefix(rows, ["no_source", "source"], "key", ["doc_id"], "size")
+    placed = with_prefix(rows, ["no_source", "source"], "key", ["doc_id"], "size", goal)
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - F.col("epochs") * F.col("source_size")
     return (
-        placed.join(goal, ["no_source", "source"])
-        .withColumn("epochs", epochs)
+        placed.withColumn("epochs", epochs)
         .withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))))
-        .select("doc_id", "size", "source_size", "target", "taken", *(["kept"] if keep is not None else []))
+        .select("doc_id", "size", "source_size", "target", "taken", *(["carried"] if keep is not None else []))
     )

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 DIGITS = 3  # 4096 ranges a group
 
 
-def with_prefix(rows: DataFrame, groups: list[str], key: str, ties: list[str], value: str) -> DataFrame:
+def with_prefix(rows: DataFrame, groups: list[str], key: str, ties: list[str], value: str, of_group: DataFrame | None = None) -> DataFrame:
     """Add ``before`` (sum of ``value`` over the rows that precede in the group) and ``total``.
 
-    ``rows`` is read twice, so it should be a stored table. Group columns must not be null. Rows that
+    Columns of ``of_group``, a table of one row per group, come along on the ranges, so that no join
+    meets a whole group. ``rows`` is read twice, so it should be a stored table. Group columns must not be null. Rows that
     agree in key and ties follow each other in any order.
     """
     ranged = rows.withColumn("range", F.substring(key, 1, DIGITS))
@@ -28,6 +29,8 @@ def with_prefix(rows: DataFrame, groups: list[str], key: str, ties: list[str], v
         F.coalesce(F.sum("in_range").over(by_range), F.lit(0)).alias("shift"),
         F.sum("in_range").over(Window.partitionBy(*groups)).alias("total"),
     )
+    if of_group is not None:
+        shifts = shifts.join(of_group, groups)
     within = Window.partitionBy(*keys).orderBy(key, *ties).rowsBetween(*earlier)
     running = ranged.withColumn("inside", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return running.join(shifts, keys).withColumn("before", F.col("shift") + F.col("inside")).drop("shift", "inside", "range")

@@ -44,7 +44,7 @@ def shard(docs: DataFrame, weights: list[float], doc_id: str = "doc_id", text: s
         rendezvous(key, [*weights, sum(weights) / len(weights)]).alias("grown_shard"),
         F.md5(F.concat(F.lit("slot:"), key)).alias("key"),
         F.lit(1).cast("long").alias("one"),
-        *([keep.alias("kept")] if keep is not None else []),
+        *([keep.alias("carried")] if keep is not None else []),
     )
     placed = with_prefix(stored(rows), ["shard"], "key", ["doc_id", "text_crc32", "size"], "one")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("before").alias("slot"), "grown_shard", *(["kept"] if keep is not None else []))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("before").alias("slot"), "grown_shard", *(["carried"] if keep is not None else []))
