@@ -14,8 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round a node takes the least label of its neighbours, then the label of that label, so labels
     travel in doubling steps. Every round is a stored table; labels never reach the driver.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
+    labels = stored(labels)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ WORDS = 5  # in a k-mer
 MINIMA = 3  # k-mers of a sketch entry
 ENTRIES = 24
 SIMILAR = 0.8
+PAIRS, CELLS = 512, 1_000_000  # pairs, and cells of their bands, that a task aligns at once
+SIGNATURE = 1024  # bits that tell which words a text has
 _SPARE = 8  # looks at about so many times MINIMA k-mers for each entry, and at all where these don't do
 
 
@@ -67,109 +70,163 @@ def _sketch(k: int, minima: int, entries: int):
         by_byte, by_word, by_entry = Powers(BYTE_BASE), Powers(WORD_BASE), Powers(WORD_BASE)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            counts, sketches = [], []
+            counts, sketches, signatures = [], [], []
             for t in slices(batch.column("text"), SPACED, lower=True):
                 counts.append(np.diff(t.first))
-                labelled, bounds = _labelled(t, t.hashes(by_byte), k, by_word)
+                hashes = t.hashes(by_byte)
+                has = np.zeros((t.rows, SIGNATURE), bool)
+                has[np.repeat(np.arange(t.rows), counts[-1]), hashes & np.uint64(SIGNATURE - 1)] = True
+                signatures.append(np.packbits(has, axis=1, bitorder="little").view(np.int64))
+                labelled, bounds = _labelled(t, hashes, k, by_word)
                 sketches.append(order_minhash(labelled, bounds, minima, entries, by_entry))
             if not counts:
                 continue
             counts, sketches = np.concatenate(counts), np.concatenate(sketches)
             some = counts > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * entries)]).astype(np.int32)), pa.array(sketches[some].ravel().view(np.int64)))
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * (SIGNATURE // 64)), pa.array(np.concatenate(signatures).ravel()))
             rows = np.arange(row, row + len(batch))
             row += len(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("ident"), batch.column("text_key"), pa.array(counts), lists], ["row", "ident", "text_key", "n_words", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("ident"), batch.column("text_key"), pa.array(counts), lists, words], ["row", "ident", "text_key", "n_words", "sketch", "words"])
 
     return run
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the common multiset."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
-
+class Sequences(NamedTuple):
+    """Word hashes of many texts one after the other, with prefix sums to compare runs in constant time."""
 
-class _Sequence:
-    """Words of a text with prefix hashes, to compare runs in constant time."""
+    words: np.ndarray
+    first: np.ndarray
+    sums: np.ndarray
 
-    def __init__(self, words: np.ndarray, powers: Powers):
+    @classmethod
+    def of(cls, words: np.ndarray, first: np.ndarray, powers: Powers) -> Sequences:
         powers.upto(len(words) + 1)
-        self.words, self.down = words, powers.down
-        self.sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * powers.up[: len(words)], out=self.sums[1:])
+        return cls(words, first, np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers.up[: len(words)])]))
 
-    def run(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (self.sums[at + length] - self.sums[at]) * self.down[at]
+    def pick(self, rows: np.ndarray, powers: Powers) -> Sequences:
+        counts = np.diff(self.first)[rows]
+        return Sequences.of(self.words[ramp(self.first[rows], counts)], np.concatenate([[0], np.cumsum(counts)]), powers)
 
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of each pair of neighbouring words, the text mixed into the hash."""
+        counts = np.maximum(np.diff(self.first) - 1, 0)
+        at, owner = ramp(self.first[:-1], counts), np.repeat(np.arange(len(counts)), counts)
+        return owner, mix(mix(self.words[at] * np.uint64(3) ^ self.words[at + 1]) ^ mix(owner.astype(np.uint64)))
 
-def _common(a: _Sequence, b: _Sequence, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many words agree from x in a and from y in b on, for each pair of places."""
-    most = np.minimum(len(a.words) - x, len(b.words) - y)
-    low, step = np.zeros_like(x), 1 << max(int(most.max(initial=0)).bit_length() - 1, 0)
-    while step:
-        tried = low + step
-        fits = tried <= most
-        length = np.where(fits, tried, 0)
-        low = np.where(fits & (a.run(x, length) == b.run(y, length)), tried, low)
-        step //= 2
-    return low
 
+def _common_neighbours(a: Sequences, b: Sequences) -> np.ndarray:
+    """Size of the common multiset of neighbouring words, for each pair of texts."""
+    (owner, x), (_, y) = a.neighbours(), b.neighbours()
+    x, at, n = np.unique(x, return_index=True, return_counts=True)
+    y, m = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return np.bincount(owner[at[i]], np.minimum(n[i], m[j]), minlength=len(a.first) - 1).astype(np.int64)
+
+
+def _align_some(a: Sequences, b: Sequences, limits: np.ndarray, powers: Powers) -> np.ndarray:
+    """Edits of each pair, or -1 if more than its limit. All pairs advance together, edit by edit."""
+    out = np.full(len(limits), -1, np.int64)
+    n, m = np.diff(a.first), np.diff(b.first)
+    alive = np.arange(len(limits))
+
+    def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """x moved on along its diagonal while the words agree."""
+        begin_a, begin_b = a.first[alive][:, None], b.first[alive][:, None]
+        most = np.minimum(n[alive][:, None] - x, m[alive][:, None] - y)
+        i, j = begin_a + x, begin_b + y
+        low, step = np.zeros_like(x), 1 << max(int(most.max(initial=0)).bit_length() - 1, 0)
+        while step:
+            tried = np.where(low + step <= most, low + step, 0)
+            same = (a.sums[i + tried] - a.sums[i]) * powers.down[i] == (b.sums[j + tried] - b.sums[j]) * powers.down[j]
+            low = np.where(same & (tried > 0), tried, low)
+            step //= 2
+        return x + low
+
+    zero = np.zeros((len(alive), 1), np.int64)
+    far, edits = run(zero, zero), 0
+    while len(alive):
+        shift = m[alive] - n[alive]
+        column = np.clip(shift + edits, 0, 2 * edits)
+        done = (np.abs(shift) <= edits) & (far[np.arange(len(alive)), column] >= n[alive])
+        out[alive[done]] = edits
+        going = ~done & (limits[alive] > edits)
+        alive, far = alive[going], far[going]
+        edits += 1
+        k = np.arange(-edits, edits + 1)[None, :]
+        wide = np.full((len(alive), far.shape[1] + 4), -(1 << 40), np.int64)
+        wide[:, 2:-2] = far
+        x = np.maximum(np.maximum(wide[:, 1:-1] + 1, wide[:, 2:] + 1), wide[:, :-2])  # replace, delete from a, insert into a
+        x = np.minimum(np.minimum(x, n[alive][:, None]), m[alive][:, None] - k)
+        valid = (x >= 0) & (x + k >= 0)
+        at, to = np.where(valid, x, n[alive][:, None]), np.where(valid, x + k, m[alive][:, None])
+        far = np.where(valid, run(at, to), -(1 << 40))
+    return out
 
-def edit_distance(a: np.ndarray, b: np.ndarray, limit: int, powers: Powers) -> int | None:
-    """Edits (insert, delete, replace a word) that turn a into b, or None if more than ``limit``.
+
+def edit_distances(a: Sequences, b: Sequences, limits: np.ndarray, powers: Powers) -> np.ndarray:
+    """Edits (insert, delete, replace a word) that turn each text of a into that of b, or -1 if more than its limit.
 
     Only the band of diagonals that ``limit`` edits can reach is aligned: for each number of edits the
     furthest place on each diagonal is kept, and matching runs are crossed at once.
     """
-    n, m = len(a), len(b)
-    if abs(n - m) > limit:
-        return None
-    if n and m and _shared(mix(a[:-1] * np.uint64(3) ^ a[1:]), mix(b[:-1] * np.uint64(3) ^ b[1:])) < max(n, m) - 1 - 2 * limit:
-        return None  # each edit breaks two pairs of neighbours at most
-    sa, sb = _Sequence(a, powers), _Sequence(b, powers)
-    far = _common(sa, sb, np.zeros(1, np.int64), np.zeros(1, np.int64))
-    edits = 0
-    while True:
-        if abs(m - n) <= edits and far[m - n + edits] >= n:
-            return edits
-        if edits == limit:
-            return None
-        edits += 1
-        k = np.arange(-edits, edits + 1)
-        wide = np.full(len(far) + 4, -(1 << 40), np.int64)
-        wide[2:-2] = far
-        x = np.maximum(np.maximum(wide[1:-1] + 1, wide[2:] + 1), wide[:-2])  # replace, delete from a, insert into a
-        x = np.minimum(np.minimum(x, n), m - k)
-        valid = (x >= 0) & (x + k >= 0)
-        at = np.where(valid, x, 0)
-        far = np.where(valid, x + _common(sa, sb, np.where(valid, at, n), np.where(valid, at + k, m)), -(1 << 40))
+    longer = np.maximum(np.diff(a.first), np.diff(b.first))
+    # each edit breaks two pairs of neighbours at most
+    maybe = (np.abs(np.diff(a.first) - np.diff(b.first)) <= limits) & (_common_neighbours(a, b) >= longer - 1 - 2 * limits)
+    rows = np.flatnonzero(maybe)
+    rows = rows[np.argsort(limits[rows], kind="stable")]
+    out, start = np.full(len(limits), -1, np.int64), 0
+    while start < len(rows):  # pairs of like limits, a bounded number of cells at once
+        size = np.arange(1, len(rows) - start + 1) * (2 * limits[rows[start:]] + 3)
+        stop = start + max(1, int(np.searchsorted(size, CELLS, "right")))
+        some = rows[start:stop]
+        out[some] = _align_some(a.pick(some, powers), b.pick(some, powers), limits[some], powers)
+        start = stop
+    return out
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, limit: int, powers: Powers) -> int | None:
+    """Edits that turn one text into another, or None if more than ``limit``."""
+    one, two = (Sequences.of(x, np.array([0, len(x)]), powers) for x in (a, b))
+    edits = int(edit_distances(one, two, np.array([limit]), powers)[0])
+    return edits if edits >= 0 else None
 
 
 def _align(similar: float):
     """Arrow task: pairs whose texts have ``1 - edits / longer`` of ``similar`` or more, in words."""
 
-    def words(column: pa.Array, by_byte: Powers) -> list[np.ndarray]:
-        out = []
-        for t in slices(column, SPACED, lower=True):
-            hashes = t.hashes(by_byte)
-            out += np.split(hashes, t.first[1:-1])
-        return out
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_byte, by_word = Powers(BYTE_BASE), Powers(WORD_BASE)
-        for batch in batches:
-            keep = []
-            for one, two in zip(words(batch.column("text_a"), by_byte), words(batch.column("text_b"), by_byte)):
-                longer = max(len(one), len(two))
-                keep.append(edit_distance(one, two, int(np.floor((1 - similar) * longer + 1e-9)), by_word) is not None)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, len(whole), PAIRS):
+                batch = whole.slice(at, PAIRS)
+                sides = []
+                for column in ("text_a", "text_b"):
+                    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                    for t in slices(batch.column(column), SPACED, lower=True):
+                        hashes.append(t.hashes(by_byte))
+                        counts.append(np.diff(t.first))
+                    sides.append(Sequences.of(np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), by_word))
+                longer = np.maximum(*(np.diff(s.first) for s in sides))
+                edits = edit_distances(*sides, np.floor((1 - similar) * longer + 1e-9).astype(np.int64), by_word)
+                yield batch.select(["a", "b"]).filter(pa.array(edits >= 0))
 
     return run
 
 
+def _in_reach(similar: float, a: str, b: str) -> Column:
+    """Whether two nodes (n_words and words as ``n_a``, ``words_a``, ...) can be linked at all.
+
+    Each edit removes one word of a text at most, so a link bears no more words that one text alone
+    has than the edits it allows; bits that one signature alone has are such words.
+    """
+    n_a, n_b, bits_a, bits_b = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"words_{a}"), F.col(f"words_{b}")
+    longer = F.greatest(n_a, n_b)
+    only = lambda x, y: sum(F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(SIGNATURE // 64))
+    edits = F.floor((1 - similar) * longer + 1e-9)
+    return (F.least(n_a, n_b) >= similar * longer - 1e-9) & (only(bits_a, bits_b) <= edits) & (only(bits_b, bits_a) <= edits)
+
+
 def _present(bits: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,11 +246,11 @@ def near_duplicates(
     candidates. Two candidates are linked if their edit similarity in words is ``similar`` or more;
     classes are the connected components of the links.
 
-    No bucket makes all its pairs. First each node is aligned with one node, the least one of most of
-    its buckets; then with the least ones of its other buckets where these lie in another component;
-    then, in buckets that still hold several components, the members outside the largest one are
-    aligned with all members of other components. Pairs inside one component could add no class, so
-    every candidate pair that could change a class is aligned.
+    No bucket makes all its pairs. First each node is aligned with the least node of each of its
+    buckets. Pairs inside one component could add no class; so in buckets that then still hold several
+    components, the members outside the largest one are aligned with the members of the others. Before
+    any alignment a pair is dropped if the lengths, or the words that one of the texts alone has, need
+    more edits than a link allows. So every candidate pair that could change a class is decided.
 
     A null or empty text has no words and no near duplicate, only equal texts (null: empty). A text of
     one to ``k`` - 1 words is one k-mer. Of a class the row with the smallest doc_id stays (null last),
@@ -202,9 +259,9 @@ def near_duplicates(
     body = F.col(text)
     ident = F.struct(F.col(doc_id).cast("long").alias("doc_id"), *([keep.alias("carried")] if keep is not None else []))
     rows = docs.select(ident.alias("ident"), body.alias("text"), text_key(F.coalesce(body, F.lit(""))).alias("text_key"))
-    scan = stored(rows.mapInArrow(_sketch(k, minima, entries), f"row long, ident {dict(rows.dtypes)['ident']}, text_key string, n_words long, sketch array<long>"))
+    scan = stored(rows.mapInArrow(_sketch(k, minima, entries), f"row long, ident {dict(rows.dtypes)['ident']}, text_key string, n_words long, sketch array<long>, words array<long>"))
     place = F.struct(F.col("ident.doc_id").isNull().alias("last"), F.col("ident.doc_id").alias("doc_id"), F.col("row").alias("row"))
-    nodes = scan.groupBy("text_key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("n_words").alias("n_words"), F.any_value("sketch").alias("sketch"))
+    nodes = scan.groupBy("text_key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("n_words").alias("n_words"), F.any_value("sketch").alias("sketch"), F.any_value("words").alias("words"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     buckets = nodes.select("node", "n_words", F.explode("sketch").alias("bucket"))
@@ -216,38 +273,35 @@ def near_duplicates(
     probed = probed.mapInArrow(_present(key_filter(in_question, "probe")), "doc_id long, text string, text_key string, probe long")
     texts = stored(probed.join(in_question.select("node", "text_key", "first"), "text_key").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("node", "text"))
 
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def linked(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        # few bytes and much work: as many tasks as any shuffle has
+        with_a = pairs.repartition(tasks, "a").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_align(similar), "a long, b long").distinct())
+        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_align(similar), "a long, b long"))
 
-    def labelled(table: DataFrame, component: DataFrame, node: str = "node", name: str = "component") -> DataFrame:
-        found = component.select(F.col("node").alias(node), F.col("component").alias(name))
-        return table.join(found, node, "left").withColumn(name, F.coalesce(name, node))
+    def labelled(table: DataFrame, component: DataFrame) -> DataFrame:
+        return table.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    to_lead = members.filter("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("n"))
-    best = to_lead.groupBy("node").agg(F.max(F.struct("n", (-F.col("lead")).alias("minus"))).alias("best"))
-    tried = stored(best.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b")))
-    links = linked(tried)
-    component = components(links)
+    of = nodes.join(in_question.select("node"), "node", "left_semi").select("node", "n_words", "words")
+    side = lambda table, s, *more: table.select(F.col("node").alias(s), F.col("n_words").alias(f"n_{s}"), F.col("words").alias(f"words_{s}"), *more)
 
-    rest = to_lead.select(F.col("node").alias("a"), F.col("lead").alias("b")).join(tried, ["a", "b"], "left_anti")
-    rest = labelled(labelled(rest, component, "a", "of_a"), component, "b", "of_b").filter("of_a <> of_b")
-    more = stored(rest.select("a", "b"))
-    links, tried = links.union(linked(more)), tried.union(more)
+    to_lead = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    to_lead = to_lead.join(side(of, "a"), "a").join(side(of, "b"), "b").filter(_in_reach(similar, "a", "b"))
+    tried = stored(to_lead.select("a", "b"))
+    links = linked(tried)
     component = components(links)
 
-    placed = stored(labelled(members.select("bucket", "node", "n_words"), component))
+    placed = stored(labelled(members.select("bucket", "node"), component))
     split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("z")).filter("x < z").select("bucket")
-    mixed = stored(placed.join(split, "bucket"))
+    mixed = stored(placed.join(split, "bucket").join(of, "node"))
     main = mixed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main")).select("bucket", F.col("main.component").alias("main"))
-    outside = stored(mixed.join(main, "bucket").filter("component <> main").select("bucket", F.col("node").alias("a"), F.col("n_words").alias("n_a"), F.col("component").alias("of_a")))
-    across = outside.join(mixed.select("bucket", F.col("node").alias("b"), F.col("n_words").alias("n_b"), F.col("component").alias("of_b")), "bucket").filter(
-        (F.col("of_a") != F.col("of_b")) & (F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b") - 1e-9)
-    )
+    outside = stored(side(mixed.join(main, "bucket").filter("component <> main"), "a", "bucket", F.col("component").alias("of_a")))
+    others = side(mixed, "b", F.col("bucket").alias("in"), F.col("component").alias("of_b"))
+    across = outside.repartition(tasks, "bucket", "a").join(others, (F.col("bucket") == F.col("in")) & (F.col("of_a") != F.col("of_b")) & _in_reach(similar, "a", "b"))
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.union(linked(across.join(done, ["a", "b"], "left_anti")))
+    links = links.union(linked(across.join(tried, ["a", "b"], "left_anti")))
     component = components(links)
 
     of_node = labelled(nodes.select("text_key", "node", "first", "copies"), component)
