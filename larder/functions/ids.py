@@ -13,12 +13,17 @@ ID_PREFIX = "ev"
 def _lower_escapes(text: Column) -> Column:
     """Spark writes control characters as upper-case hex escapes; canonical JSON wants lower case.
 
-    An even run of backslashes before the escape keeps a literal backslash apart from an escape.
+    An even run of backslashes before the escape keeps a literal backslash apart from an escape. The
+    text is bound once, as the item of a one-row array, so that its JSON is not spelled out again for
+    every use.
     """
-    fixed = text
-    for code in (*range(0x0B, 0x0C), *range(0x0E, 0x10), *range(0x1A, 0x20)):
-        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
-    return F.when(text.contains("\\u00"), fixed).otherwise(text)
+    codes = F.array(*(F.lit(f"{code:04X}") for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20))))
+
+    def lowered(json: Column) -> Column:
+        one = lambda done, code: F.regexp_replace(done, F.concat(F.lit(r"(?<!\\)((?:\\\\)*)\\u"), code), F.concat(F.lit(r"$1\\u"), F.lower(code)))
+        return F.when(json.contains("\\u00"), F.aggregate(codes, json, one)).otherwise(json)
+
+    return F.element_at(F.transform(F.array(text), lowered), 1)
 
 
 def canonical_json(fields: Mapping[str, Column], keep_nulls: bool = False) -> Column:

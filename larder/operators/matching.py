@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larder.functions import ids
 from larder.functions.udfs import fold_text, fold_with_offsets
 from larder.operators.evidence import union_all
+from larder.session import durable
 
 MAX_RULES_PER_PASS = 2000
 RUN = re.compile(r"[a-z0-9]+")
@@ -62,17 +63,22 @@ class Matcher:
     """Aliases indexed by their first word, so a text is read once however many aliases there are.
 
     A match starts where a run of ASCII letters and digits starts. The run either equals the alias's
-    first run or, for prefixes, begins with it; the alias's own pattern then decides.
+    first run or, for prefixes, begins with it; the alias's own pattern then decides. An alias of kind
+    ``anywhere`` matches at every place its letters stand, inside words and over itself too.
     """
 
     def __init__(self, rows) -> None:
         self.exact: dict[str, list] = {}
         self.prefix: dict[str, list] = {}
         self.other: list = []
+        self.anywhere: list = []
         for r in rows:
             folded, _ = fold_with_offsets(r.alias)
             if not folded:
                 continue
+            if r.match == "anywhere":
+                self.anywhere.append((r.alias_id, folded))
+                continue
             entry = (r.alias_id, r.match, re.compile(_pattern(folded, r.match)))
             head = RUN.match(folded)
             if r.match == "e-number":
@@ -88,7 +94,7 @@ class Matcher:
         self.widths = sorted({len(p) for p in self.prefix})
 
     def find(self, norm: str) -> Iterator[tuple[str, str, int, int]]:
-        """(alias_id, match, start, end) of all matches; those of one alias do not overlap."""
+        """(alias_id, match, start, end) of all matches; but for ``anywhere`` those of one alias do not overlap."""
         ends: dict[str, int] = {}
         for run in RUN.finditer(norm):
             word, start = run.group(), run.start()
@@ -105,6 +111,11 @@ class Matcher:
         for alias, kind, pattern in self.other:
             for m in pattern.finditer(norm):
                 yield alias, kind, m.start(), m.end()
+        for alias, folded in self.anywhere:
+            at = norm.find(folded)
+            while at >= 0:
+                yield alias, "anywhere", at, at + len(folded)
+                at = norm.find(folded, at + 1)
 
 
 def match_rules(texts: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -154,11 +165,17 @@ def drop_overlapping(matches: DataFrame, excluded: DataFrame, width: int = 64) -
 def rule_findings(texts: DataFrame, aliases: DataFrame, contexts: DataFrame) -> DataFrame:
     """Distinct findings (doc_id, rule_id, outcome, queue, reason_code, start, end, span).
 
-    ``contexts`` (alias_id, rule_id, language, alias, match) are phrases that excuse a hit they overlap.
+    ``contexts`` (alias_id, rule_id, language, alias) are phrases that excuse a hit they overlap,
+    wherever their letters stand, inside words too. Both are looked for in one pass over the texts.
     """
     rules = aliases.select("alias_id", "rule_id", "outcome", "queue", "reason_code")
-    hits = match_rules(texts, aliases).join(rules, "alias_id")
-    excused = match_rules(texts, contexts).join(contexts.select("alias_id", "rule_id"), "alias_id")
+    tagged = aliases.select(F.concat(F.lit("hit:"), "alias_id").alias("alias_id"), "language", "alias", "match").unionByName(
+        contexts.select(F.concat(F.lit("not:"), "alias_id").alias("alias_id"), "language", "alias", F.lit("anywhere").alias("match"))
+    )
+    found = match_rules(texts, tagged).withColumn("hit", F.col("alias_id").startswith("hit:")).withColumn("alias_id", F.substr("alias_id", F.lit(5)))
+    found = durable(found)
+    hits = found.filter("hit").drop("hit").join(rules, "alias_id")
+    excused = found.filter("not hit").drop("hit").join(contexts.select("alias_id", "rule_id"), "alias_id")
     return drop_overlapping(hits, excused).drop("alias_id").distinct()
 
 

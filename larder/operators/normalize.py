@@ -120,10 +120,10 @@ def formulation_signals(ingredients: Column, count: Column, additives_n: Column,
 
 
 def retailer_keys(stores: Column, places: Column) -> Column:
-    """Store and place tags as slugs of at most 80 characters."""
+    """Store and place tags as slugs."""
     keys = F.transform(
         F.array_union(_texts(stores), _texts(places)),
-        lambda v: F.substring(text.slug(F.regexp_replace(text.fold_case(v), r"\A[^:]*:", "")), 1, 80),
+        lambda v: text.slug(F.regexp_replace(text.fold_case(v), r"\A[^:]*:", "")),
     )
     return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k != "")))
 

@@ -269,8 +269,11 @@ def retailer_observations(resolved: DataFrame, retrieved_at: str, source_key: st
     return rows.withColumn("id", ids.evidence_id("retailer", fields))
 
 
-def quality_report(resolved: DataFrame, alias_limit: int = 200) -> DataFrame:
-    """(metric, key, value) rows: fates, retailers, proof types, match kinds, time range, alias queue."""
+def quality_report(resolved: DataFrame, alias_limit: int | None = None) -> DataFrame:
+    """(metric, key, value) rows: fates, retailers, proof types, match kinds, time range, alias queue.
+
+    The alias queue is whole unless ``alias_limit`` asks for its head; the report then says so.
+    """
     c = F.col
     kept = c("fate") == "included"
 
@@ -295,14 +298,16 @@ def quality_report(resolved: DataFrame, alias_limit: int = 200) -> DataFrame:
         )
     )
     is_alias = c("metric").endswith("-alias")
-    rank = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("n"), "key"))
-    ranked = cells.filter(is_alias).withColumn("rank", rank).filter(c("rank") <= alias_limit)
-    listed = cells.filter(~is_alias).unionByName(ranked.drop("rank"))
+    listed = cells
+    if alias_limit is not None:
+        rank = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("n"), "key"))
+        ranked = cells.filter(is_alias).withColumn("rank", rank).filter(c("rank") <= alias_limit)
+        listed = cells.filter(~is_alias).unionByName(ranked.drop("rank"))
     listed = listed.select("metric", "key", c("n").cast("string").alias("value"))
     totals = cells.agg(
         F.min("oldest").alias("oldest"), F.max("newest").alias("newest"),
         *(
-            (F.count_if(c("metric") == f"{s}-alias") > alias_limit).cast("string").alias(s)
+            (F.lit(False) if alias_limit is None else F.count_if(c("metric") == f"{s}-alias") > alias_limit).cast("string").alias(s)
             for s in ("ambiguous", "unmatched")
         ),
     )

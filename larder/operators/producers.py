@@ -10,24 +10,19 @@ from larder.functions.clock import epoch_rfc3339
 from larder.operators.evidence import union_all
 from larder.policy import PRODUCER_FIELDS
 
-MAX_OWNER, MAX_VALUE, MAX_TEXT, MAX_URL = 256, 64 * 1024, 512, 2048
-MAX_SOURCES, MAX_TAGS = 16, 32
 # Fields that hold an ingredient text.
 INGREDIENT_FIELDS = ["ingredients_text", "ingredients_text_de", "ingredients_text_en"]
 
 
-def _bounded(value: Column, limit: int) -> Column:
-    return F.when(text.has_text(value) & (F.length(value) <= limit), text.trim_space(value))
+def _filled(value: Column) -> Column:
+    return F.when(text.has_text(value), text.trim_space(value))
 
 
 def sanitize(raw: DataFrame) -> DataFrame:
-    """Bounded producer metadata: owner, hashes of owner fields, manufacturer sources, source tags.
-
-    Arrays are bounded by contract (16 sources, 32 tags, first in order), so a record stays small.
-    """
+    """Producer metadata: owner, hashes of owner fields, all manufacturer sources, all source tags."""
     c = F.col
     hashes = F.map_filter(
-        F.transform_values("owner_fields", lambda _, v: F.when(text.has_text(v) & (F.length(v) <= MAX_VALUE), F.sha2(v, 256))),
+        F.transform_values("owner_fields", lambda _, v: F.when(text.has_text(v), F.sha2(v, 256))),
         lambda k, v: k.isin(*PRODUCER_FIELDS) & v.isNotNull(),
     )
 
@@ -40,22 +35,22 @@ def sanitize(raw: DataFrame) -> DataFrame:
     admitted = F.filter(
         "sources",
         lambda s: F.coalesce(is_manufacturer(s["manufacturer"]), F.lit(False))
-        & _bounded(s["id"], MAX_TEXT).isNotNull() & (F.size(fields_of(s)) > 0),
+        & _filled(s["id"]).isNotNull() & (F.size(fields_of(s)) > 0),
     )
     safe_url = lambda u: F.when(
-        (F.length(u) <= MAX_URL) & u.rlike(r"\Ahttps://[^/?#@]+(?:[/?#]|\z)"), u
+        u.rlike(r"\Ahttps://[^/?#@]+(?:[/?#]|\z)"), u
     )
     shaped = F.transform(
-        F.slice(admitted, 1, MAX_SOURCES),
+        admitted,
         lambda s: F.struct(
-            _bounded(s["id"], MAX_TEXT).alias("source_id"), F.coalesce(_bounded(s["name"], MAX_TEXT), F.lit("")).alias("source_name"),
+            _filled(s["id"]).alias("source_id"), F.coalesce(_filled(s["name"]), F.lit("")).alias("source_name"),
             fields_of(s).alias("fields"), epoch_rfc3339(s["import_t"]).alias("imported_at"),
-            _bounded(s["source_licence"], MAX_TEXT).alias("licence"), safe_url(s["source_licence_url"]).alias("licence_url"),
+            _filled(s["source_licence"]).alias("licence"), safe_url(s["source_licence_url"]).alias("licence_url"),
         ),
     )
-    tags = F.slice(F.filter("data_sources_tags", lambda t: text.has_text(t) & (F.length(t) <= MAX_TEXT)), 1, MAX_TAGS)
+    tags = F.filter("data_sources_tags", text.has_text)
     return raw.select(
-        "source_record_id", _bounded(c("owner"), MAX_OWNER).alias("owner"), hashes.alias("owner_hashes"),
+        "source_record_id", _filled(c("owner")).alias("owner"), hashes.alias("owner_hashes"),
         F.array_sort(shaped).alias("manufacturer_sources"), F.array_sort(F.array_distinct(tags)).alias("data_source_tags"),
     )
 

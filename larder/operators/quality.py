@@ -336,8 +336,8 @@ def stratified_sample(facts: DataFrame, changed: DataFrame, per_stratum: int = 3
     return rows.withColumn("position", F.row_number().over(order)).filter(c("position") <= per_stratum)
 
 
-def mandatory_review(facts: DataFrame, cert_links: DataFrame, changed: DataFrame, limit: int = 1000) -> DataFrame:
-    """High-risk selections in key order, at most ``limit``, with the total and whether it was cut."""
+def mandatory_review(facts: DataFrame, cert_links: DataFrame, changed: DataFrame, limit: int | None = None) -> DataFrame:
+    """High-risk selections with their total; the first ``limit`` in key order where a caller asks for a bound, marked as cut."""
     certified = cert_links.select("selection_id").distinct().withColumn("_cert", F.lit(True))
     moved = changed.filter("change_kind = 'changed'").select("gtin", "market").distinct().withColumn("_moved", F.lit(True))
     risky = (
@@ -346,8 +346,8 @@ def mandatory_review(facts: DataFrame, cert_links: DataFrame, changed: DataFrame
         .select("gtin", "market", F.coalesce("status", F.lit("unassessed")).alias("status"))
     )
     total = risky.agg(F.count("*")).scalar()
-    listed = risky.orderBy("gtin", "market").limit(limit)
-    return listed.withColumn("total", total).withColumn("truncated", F.col("total") > limit)
+    listed = risky if limit is None else risky.orderBy("gtin", "market").limit(limit)
+    return listed.withColumn("total", total).withColumn("truncated", F.lit(False) if limit is None else F.col("total") > limit)
 
 
 def compare_metrics(computed: DataFrame, stored: DataFrame) -> DataFrame:

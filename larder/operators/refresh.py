@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import clock
-from larder.functions.ranking import previous_in_group
+from larder.functions.ranking import ordinal_in_group, previous_in_group
 from larder.operators import quality
 from larder.operators.evidence import union_all
 
-MAX_ENTRIES, DUE_DAYS = 5000, 30
-MAX_TARGETS, BATCH, INTERVAL_SECONDS = 400, 40, 7
+DUE_DAYS = 30
+BATCH, INTERVAL_SECONDS = 40, 7
+PLACE_DIGITS = 10  # leading digits of a product code that split the numbering
 # Reasons a targeted run may act on.
 TARGET_REASONS = [
     "missing-current-ingredients", "date-unknown-ingredients", "stale-ingredients", "refresh-recommended-ingredients",
@@ -75,15 +76,15 @@ def due_work(e: dict[str, DataFrame], changes: DataFrame, blockers: DataFrame, a
     return _keyed(rows).distinct()
 
 
-def capped(queue: DataFrame, limit: int = MAX_ENTRIES) -> DataFrame:
-    """The queue in work order, bounded: the bound is part of the contract."""
-    return queue.orderBy(*queue_order()).limit(limit)
+def head(queue: DataFrame, limit: int | None = None) -> DataFrame:
+    """The queue, or its first ``limit`` entries in work order where a caller asks for a bound."""
+    return queue if limit is None else queue.orderBy(*queue_order()).limit(limit)
 
 
-def merge_queues(first: DataFrame, later: DataFrame, limit: int = MAX_ENTRIES) -> DataFrame:
+def merge_queues(first: DataFrame, later: DataFrame, limit: int | None = None) -> DataFrame:
     """Union by key; an entry of the later queue replaces one of the first."""
     kept = first.join(later.select("key"), "key", "left_anti").select(*later.columns)
-    return capped(later.unionByName(kept), limit)
+    return head(later.unionByName(kept), limit)
 
 
 def submission_targets(*evidence: DataFrame) -> DataFrame:
@@ -94,13 +95,17 @@ def submission_targets(*evidence: DataFrame) -> DataFrame:
     return _keyed(good.select("gtin", "market", F.lit("admitted-submission").alias("reason"), F.lit("high").alias("priority"), none.alias("evidence_id")))
 
 
-def target_batches(queue: DataFrame, limit: int = MAX_TARGETS, size: int = BATCH) -> DataFrame:
-    """(batch, gtins, starts_after_seconds): the first eligible products in chunks; at most ``limit`` rows leave the tasks."""
-    first = (
-        queue.filter(F.col("reason").isin(*TARGET_REASONS) & F.col("gtin").rlike(r"\A[0-9]{14}\z"))
-        .select("gtin").distinct().orderBy("gtin").limit(limit)
-    )
-    numbered = first.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("gtin")) - 1) / size))
+def target_batches(queue: DataFrame, limit: int | None = None, size: int = BATCH) -> DataFrame:
+    """(batch, gtins, starts_after_seconds): the eligible products in chunks, all or the first ``limit``.
+
+    Products are numbered through counts of their leading digits, so no task holds the whole queue.
+    """
+    eligible = queue.filter(F.col("reason").isin(*TARGET_REASONS) & F.col("gtin").rlike(r"\A[0-9]{14}\z")).select("gtin").distinct()
+    whole = eligible.withColumn("all", F.lit(0))
+    numbered = ordinal_in_group(whole, ["all"], F.substring("gtin", 1, PLACE_DIGITS), ["gtin"], "place").drop("all")
+    if limit is not None:
+        numbered = numbered.filter(F.col("place") < limit)
+    numbered = numbered.withColumn("batch", F.floor(F.col("place") / size))
     batches = numbered.groupBy("batch").agg(F.array_sort(F.collect_list("gtin")).alias("gtins"))
     return batches.withColumn("starts_after_seconds", F.col("batch") * INTERVAL_SECONDS)
 

@@ -11,7 +11,6 @@ from larder.functions.udfs import fold_text
 # Ranking constants and column weights of the search contract.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"name": 4.0, "brand": 2.0}
-MAX_TOKENS, MAX_TOKEN_CHARS, MAX_QUERY_CHARS, MAX_PAGE = 8, 64, 160, 50
 PREFIX_CHARS = 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,9 +41,9 @@ def vocabulary(posts: DataFrame) -> DataFrame:
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
-    """(query_id, qtoken, times): at most eight folded tokens of at most 64 characters per query."""
+    """(query_id, qtoken, times): the folded tokens of each query."""
     norm = queries.select("query_id", fold_text("query")["norm"].alias("norm"))
-    tokens = F.transform(F.slice(F.filter(F.split("norm", " "), lambda t: t != ""), 1, MAX_TOKENS), lambda t: F.substring(t, 1, MAX_TOKEN_CHARS))
+    tokens = F.filter(F.split("norm", " "), lambda t: t != "")
     return norm.select("query_id", F.explode(tokens).alias("qtoken")).groupBy("query_id", "qtoken").agg(F.count("*").alias("times"))
 
 
@@ -57,7 +56,7 @@ def text_search(queries: DataFrame, products: DataFrame, posts: DataFrame) -> Da
     """
     c = F.col
     tokens = query_tokens(queries)
-    signature = F.array_sort(F.collect_list(F.struct("qtoken", "times"))).alias("terms")  # at most eight per query
+    signature = F.array_sort(F.collect_list(F.struct("qtoken", "times"))).alias("terms")  # the words of one query
     signed = tokens.groupBy("query_id").agg(signature).withColumn("ask", F.sha2(F.to_json("terms"), 256))
     asks = signed.select("ask", "terms").dropDuplicates(["ask"])
     asked = asks.select("ask", F.size("terms").alias("n_terms"), F.inline("terms"))
@@ -115,16 +114,19 @@ def barcode_search(requests: DataFrame, aliases: DataFrame, products: DataFrame)
     return cut_pages(rows, requests.select("query_id", "limit", "offset"), "query_id", order)
 
 
-def route(requests: DataFrame) -> DataFrame:
-    """Where each search request goes: error, empty, barcode (with its digits) or text."""
+def route(requests: DataFrame, max_query: int | None = None, max_page: int | None = None) -> DataFrame:
+    """Where each search request goes: error, empty, barcode (with its digits) or text.
+
+    Long queries and deep pages are errors only where the caller sets a bound.
+    """
     c = F.col
     trimmed = requests.withColumn("query", F.trim(F.regexp_replace(F.coalesce("query", F.lit("")), r"[\s\p{Z}]+", " ")))
     coded = barcodes.with_retail_barcode(trimmed, c("query"), F.lit("unknown"), "gtin", "gtin_error")
     digits = F.regexp_replace(F.coalesce("gtin", "query"), r"[\s\p{Z}-]", "")
     numeric = digits.rlike(r"\A[0-9]{1,14}\z")
     kind = (
-        F.when(F.length("query") > MAX_QUERY_CHARS, "error:query-too-long")
-        .when(~c("limit").between(1, MAX_PAGE), "error:invalid-page-size")
+        F.when(F.length("query") > max_query if max_query is not None else F.lit(False), "error:query-too-long")
+        .when((c("limit") < 1) | (c("limit") > max_page if max_page is not None else F.lit(False)), "error:invalid-page-size")
         .when(c("offset") < 0, "error:invalid-offset")
         .when(c("query") == "", "empty").when(numeric, "barcode")
         .when(~c("query").rlike(r"[\p{L}\p{M}\p{N}]"), "empty").otherwise("text")

@@ -59,7 +59,7 @@ def formulation_signals(text: str, count: str) -> str:
 
 RETAILER_KEYS = f"""list_sort(list_distinct(list_filter(list_transform(
   list_concat({texts('stores_tags')}, {texts('purchase_places_tags')}),
-  lambda v: left({slug("regexp_replace(lower(v), '^[^:]*:', '')")}, 80)), lambda k: k <> '')))"""
+  lambda v: {slug("regexp_replace(lower(v), '^[^:]*:', '')")}), lambda k: k <> '')))"""
 
 LANG_OK = "regexp_full_match(lang, '[a-z]{2,3}(-[A-Za-z0-9]{2,8})*')"
 

@@ -104,10 +104,10 @@ from {{part}} where p_partkey % 3 = 0 or p_partkey % 7 = 0
 view("review")(
     """
 select concat('rev-', cast(o_orderkey as string)) as id, 'assessment' as target_type, concat('asm-', cast(o_custkey as string)) as target_id,
-  case when o_orderstatus = 'P' and o_orderkey % 11 = 0 then 'rejected' when o_orderkey % 5 = 4 then 'pending' else 'approved' end as state,
+  case when o_orderstatus = 'P' and o_orderkey % 11 = 0 then 'rejected' when o_orderkey % 5 = 4 or o_custkey % 4 = 3 then 'pending' else 'approved' end as state,
   concat('reviewer-', cast(o_orderkey % 3 as string)) as reviewer_id,
   concat(substr(cast(o_orderdate as string), 1, 10), 'T09:00:00Z') as reviewed_at
-from {orders} where o_custkey % 4 <> 3
+from {orders}
 """
 )
 view("validity_event")(
@@ -120,7 +120,7 @@ from {events}
 )
 view("retailer")(
     f"""
-select concat('ret:', md5(concat(cast(l_orderkey as string), '/', cast(l_linenumber as string), '/', cast(l_partkey as string), '/', cast(l_suppkey as string)))) as id,
+select concat('ret:', md5(concat(cast(l_orderkey as string), '/', cast(l_linenumber as string), '/', cast(l_partkey as string), '/', cast(l_suppkey as string), '/', l_returnflag, l_linestatus, substr(cast(l_shipdate as string), 1, 10)))) as id,
   {key('l_partkey')}, concat('retailer-', cast(l_suppkey % 8 as string)) as retailer_key,
   case when l_returnflag = 'R' then 'community-store-report' when l_linenumber = 1 then 'official-listing'
        when l_linestatus = 'F' then 'retailer-feed-listing' else 'retailer-observation' end as kind,

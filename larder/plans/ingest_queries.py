@@ -135,7 +135,7 @@ view("shard_csv", "shard_cell")(
 view("source_host")(
     f"""
 select concat('source-', cast(n_nationkey as string)) as source_key, {array_of("case when n_nationkey % 4 <> 3 then concat('host', cast(n_nationkey % 3 as string), '.example.org') end", "'shop.example.org'")} as hosts
-from {{nation}} where n_nationkey < 8
+from {{nation}}
 """
 )
 

@@ -36,8 +36,6 @@ def array_of(*items: str) -> str:
     return f"split(nullif(concat_ws(',', {', '.join(items)}), ''), ',')"
 
 
-SPREAD_BYTES = 2_000_000  # estimated bytes above which an unsplit table is worth one shuffle
-
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -52,23 +50,22 @@ def view(name: str, *needs: str):
 view("code_parts")(
     f"""
 select k, lpad(cast(b as string), 13, '0') as body, {_check('b', "(case when k % 7 = 3 then 1 else 0 end)")} as digit
-from (select p_partkey as k, case when random() > 2 then 0 when p_partkey % 11 = 5 then 200000000000 + p_partkey when p_partkey % 50 = 49 then p_partkey - 1 else p_partkey end as b
+from (select p_partkey as k, case when p_partkey % 11 = 5 then 200000000000 + p_partkey when p_partkey % 50 = 49 then p_partkey - 1 else p_partkey end as b
       from {{part}}) n
 """
 )
 view("code", "code_parts")(
     """
-select k, case when random() > 2 then '' -- keeps the planner from repeating the derivation in every later expression
-               when k % 97 = 1 then concat(full_code, chr(10))
+select k, case when k % 97 = 1 then concat(full_code, chr(10))
                when k % 97 = 2 then concat(' ', full_code)
                when k % 97 = 3 then 'abc'
                when k % 97 = 4 then substr(full_code, 4, 11)
                when full_code like '0200%' then substr(full_code, 2, 13)
-               when k % 4 = 0 and k < 9999999 then substr(full_code, 7, 8)
+               when k % 4 = 0 then substr(full_code, 7, 8)
                when k % 4 = 1 then substr(full_code, 3, 12)
                when k % 4 = 2 then substr(full_code, 2, 13)
                else full_code end as code
-from (select k, case when random() > 2 then '' else concat(body, digit) end as full_code from code_parts) c
+from (select k, concat(body, digit) as full_code from code_parts) c
 """
 )
 view("raw_product", "code")(
@@ -123,16 +120,7 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """One driver table; a large one that arrives in fewer splits than there are cores is spread over them.
-
-        A table of many files, as on a cluster, is read as it is: no shuffle.
-        """
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        if int(str(size)) > SPREAD_BYTES and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         text = f"with {ctes([name])} select * from {name}"

@@ -91,7 +91,7 @@ select l_orderkey * 8 + l_linenumber as scan_id, case (l_partkey + l_linenumber)
    when 1 then concat('https://shop.example.org/p?x=1&01=', c14)
    when 2 then concat('(01)', c14, '10LOT') when 3 then concat(']C101', c14)
    when 4 then c14 else concat('https://id.example.org/01/', substr(c14, 1, 9)) end as payload
-from {lineitem} join (select k, lpad(code, 14, '0') as c14 from code where k % 97 > 4) c on k = l_partkey
+from {lineitem} join (select k, lpad(code, 14, '0') as c14 from code) c on k = l_partkey
 """
 )
 

@@ -145,7 +145,7 @@ select concat('Certifier ', cast(n_nationkey % 5 as string)) as certifier, conca
   {array_of(*(f"case when ({n} + n_nationkey) % 4 <> 0 then 'source-{n}' end" for n in range(25)))} as sources,
   case when n_nationkey = 6 then '2001-12-01T12:00:00Z' else '2000-01-01T12:00:00Z' end as reviewed_at,
   case when n_nationkey = 7 then '2001-06-01T12:00:00Z' else '2003-01-01T12:00:00Z' end as next_review_at
-from {{nation}} where n_nationkey < 9
+from {{nation}}
 """
 )
 
@@ -248,7 +248,7 @@ select lpad(cast(p_partkey as string), 14, '0') as gtin, case when p_partkey % 1
   case when p_partkey % 19 = 3 then '0.9.0' else '1.0.0' end as analysis_version, case when p_partkey % 7 = 2 then 'stale' else 'fresh' end as freshness_state,
   p_partkey % 16 = 5 as conflicted, p_partkey % 4 = 1 as prohibited,
   {array_of("'package-text-verification'", "case when p_partkey % 4 = 1 then 'clear-prohibited-confirmation' end", "case when p_partkey % 6 = 0 then 'ambiguous-origin' end")} as open_queues
-from {{part}} where p_partkey % 23 <> 0
+from {{part}}
 """
 )
 view("review_input")(

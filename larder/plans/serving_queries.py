@@ -31,7 +31,7 @@ view("text_query")(
 select concat('q', cast(c_custkey as string)) as query_id,
   case c_custkey % 4 when 0 then concat(substr(p_name, 1, 3), ' brand') when 1 then concat(split_part(p_name, ' ', 2), '  ', substr(p_brand, 7, 1)) when 2 then p_name else substr(split_part(p_name, ' ', 2), 1, 2) end as query,
   cast(5 + c_custkey % 3 as int) as limit, cast(c_custkey % 3 * 4 as int) as offset
-from {customer} join {part} on p_partkey = c_custkey where c_custkey % 5 = 0
+from {customer} join {part} on p_partkey = c_custkey
 """
 )
 _POSTS = """
@@ -60,7 +60,7 @@ def search_index(i: Inputs):
 @query(
     "text_search", "shop_product text_query",
     f"""{_POSTS},
-qt0 as (select query_id, unnest(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda t: t <> '')[1:8]) as qtoken from text_query),
+qt0 as (select query_id, unnest(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda t: t <> '')) as qtoken from text_query),
 qt as (select query_id, qtoken, count(*) as times, count(*) over (partition by query_id) as terms from qt0 group by query_id, qtoken),
 hits as (select n.qtoken, p.gtin, sum(p.tf * case p.field when 'name' then 4.0 else 2.0 end) as freq from (select distinct qtoken from qt) n join posts p on starts_with(p.token, n.qtoken) group by n.qtoken, p.gtin),
 df as (select qtoken, count(*) as df from hits group by qtoken), st as (select count(*) as n, avg(doc_len) as al from dl),
@@ -79,7 +79,7 @@ def text_search(i: Inputs):
 view("barcode_query", "code")(
     """
 select concat('b', cast(k as string)) as query_id, case k % 3 when 0 then substr(code, 1, 6) when 1 then code else substr(code, 1, 9) end as prefix, cast(3 + k % 4 as int) as limit, cast(k % 2 * 2 as int) as offset
-from code where k % 40 > 4 and k % 40 < 8 and k % 97 > 4
+from code where length(code) between 1 and 14
 """
 )
 
@@ -130,7 +130,7 @@ o as (select *, case when length(q) > 160 then 'error:query-too-long' when "limi
 select request_id, route, case route when 'barcode' then code when 'text' then q end as target from o""",
 )
 def search_request_route(i: Inputs):
-    return S.route(i.view("search_request")).select("request_id", "route", "target")
+    return S.route(i.view("search_request"), 160, 50).select("request_id", "route", "target")
 
 
 @query(

@@ -45,14 +45,14 @@ ent as (select 'missing-current-ingredients' as reason, 'high' as priority, gtin
   union select 'source-or-quality-blocker', 'high', null, null, code from found where severity = 'blocker'),
 keyed as (select concat_ws(':', reason, coalesce(market, '-'), coalesce(gtin, '-'), coalesce(evidence_id, '-')) as key, * from ent),
 ranked as (select *, row_number() over (order by case priority when 'high' then 0 when 'medium' then 1 else 2 end, reason, coalesce(market, ''), coalesce(gtin, ''), key) as rn from keyed),
-queue as (select key, reason, priority, market, gtin, evidence_id from ranked where rn <= 5000)"""
+queue as (select key, reason, priority, market, gtin, evidence_id from ranked)"""
 VIEWS = f"{ALL} pending_change"
 
 
 def due(i: Inputs):
     e = Envelope(i)
     blockers = Q.findings(e, AS_OF).filter("severity = 'blocker'").select("code").distinct()
-    return R.capped(R.due_work(e, i.view("pending_change").select("gtin", "market", "evidence_id"), blockers, AS_OF))
+    return R.due_work(e, i.view("pending_change").select("gtin", "market", "evidence_id"), blockers, AS_OF)
 
 
 @query("refresh_queue", VIEWS, f"{QUEUE} select * from queue")
@@ -73,7 +73,7 @@ def queue_summary(i: Inputs):
 @query(
     "target_batches", VIEWS,
     f"""{QUEUE}, g as (select gtin, row_number() over (order by gtin) as rn from (select distinct gtin from queue where reason in {tuple(R.TARGET_REASONS)} and regexp_full_match(gtin, '[0-9]{{14}}')) d)
-select cast((rn - 1) // 40 as bigint) as batch, string_agg(gtin, ',' order by gtin) as gtins, cast((rn - 1) // 40 * 7 as bigint) as starts_after_seconds from g where rn <= 400 group by (rn - 1) // 40""",
+select cast((rn - 1) // 40 as bigint) as batch, string_agg(gtin, ',' order by gtin) as gtins, cast((rn - 1) // 40 * 7 as bigint) as starts_after_seconds from g group by (rn - 1) // 40""",
 )
 def target_batches(i: Inputs):
     return R.target_batches(due(i)).withColumn("gtins", F.array_join("gtins", ","))
@@ -99,12 +99,12 @@ def submission_targets(i: Inputs):
     "merge_queues", VIEWS,
     f"""{QUEUE}, {_TARGETS}, later as (select * from te union all select key, reason, 'low', market, gtin, 'replaced' from queue where reason = 'ambiguous-review'),
 u as (select * from later union all select * from queue q where not exists (select 1 from later l where l.key = q.key))
-select key, reason, priority, market, gtin, evidence_id from (select *, row_number() over (order by case priority when 'high' then 0 when 'medium' then 1 else 2 end, reason, coalesce(market, ''), coalesce(gtin, ''), key) as rn from u) x where rn <= 1500""",
+select key, reason, priority, market, gtin, evidence_id from (select *, row_number() over (order by case priority when 'high' then 0 when 'medium' then 1 else 2 end, reason, coalesce(market, ''), coalesce(gtin, ''), key) as rn from u) x""",
 )
 def merge_queues(i: Inputs):
     queue = due(i)
     again = queue.filter("reason = 'ambiguous-review'").withColumn("priority", F.lit("low")).withColumn("evidence_id", F.lit("replaced"))
-    return R.merge_queues(queue, targets(i).unionByName(again), 1500)
+    return R.merge_queues(queue, targets(i).unionByName(again))
 
 
 view("attempt")(
@@ -193,7 +193,7 @@ src1 as (select source_record_id, j, case when (k + j) % 11 = 0 then '' else 'sr
    case when j % 5 <> 0 then strftime(make_timestamp((1600000000 + j * 86400) * 1000000), '%Y-%m-%dT%H:%M:%SZ') end as imported_at, case when j % 2 = 0 then 'https://example.org/l' end as url,
    (k + j) % 3 <> 0 and (k + j) % 4 <> 0 and (k + j) % 11 <> 0 as ok from src0),
 src2 as (select *, row_number() over (partition by source_record_id order by j) as rn from src1 where ok),
-src as (select * from src2 where rn <= 16),
+src as (select * from src2),
 prov as (select r.*, case when trim(r.owner) <> '' then trim(r.owner) end as own, case when trim(of_text) <> '' then sha256(of_text) end as text_hash, case when trim(of_name) <> '' then sha256(of_name) end as name_hash,
    s.sources, coalesce(s.ids, []) as sids from producer_raw r left join (select source_record_id, string_agg(sid || '/' || sname || '@' || coalesce(imported_at, '-') || coalesce(url, '-'), '|' order by sid, sname) as sources, list(distinct sid) as ids
    from src group by source_record_id) s on s.source_record_id = r.source_record_id)"""
@@ -305,7 +305,7 @@ select concat('sub-', cast(c_custkey as string)) as submission_id, c_custkey as
   case when c_custkey % 19 = 0 then 'de' else 'DE' end as market, case when c_custkey % 23 = 0 then '2031-01-01T00:00:00Z' when c_custkey % 29 = 0 then 'soon' else '2001-05-05T10:00:00Z' end as observed_at,
   c_custkey % 31 <> 4 as consent, case when c_custkey % 37 = 0 then repeat(c_name, 20) else c_name end as product_name, case when c_custkey % 41 = 0 then 'mail me: a@b.example' end as brand, cast(null as string) as quantity,
   case when c_custkey % 43 = 0 then 'see https://x.example' when c_custkey % 47 = 0 then 'call +49 170 1234567' end as notes
-from {customer} join code on k = c_custkey where c_custkey % 97 > 4
+from {customer} join code on k = c_custkey
 """
 )
 view("attachment", "submission")(

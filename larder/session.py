@@ -41,11 +41,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage in reliable storage, so a lost executor does not restart an iteration.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session that
-    names none (tests on one machine) gets a fresh temporary folder.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session that
+    names none (tests) gets a fresh temporary folder, a cluster without one is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larder-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -33,12 +33,13 @@ def csv_violations(lines: DataFrame, max_columns: int = 256, max_field: int = 1_
     """(line, rule) for lines that break the bounds of the CSV contract."""
     value = F.col("value")
     quoted = F.regexp_replace(value, r'"(?:[^"]|"")*"', "q")
-    fields = F.split(value, ",")
+    fields = F.regexp_extract_all(value, F.lit(r'(?:"(?:[^"]|"")*"|[^,"])+'), F.lit(0))
+    bare = lambda f: F.regexp_replace(F.regexp_replace(f, r'^"|"$', ""), '""', '"')
     rules = [
         (F.octet_length(value) > max_line, "line-bytes"), (value.contains("\u0000"), "nul"),
         (value.rlike(r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]"), "control-character"),
         (F.size(F.split(quoted, ",")) > max_columns, "columns"),
-        (F.array_max(F.transform(fields, lambda f: F.length(f))) > max_field, "field-length"),
+        (F.coalesce(F.array_max(F.transform(fields, lambda f: F.length(bare(f)))), F.lit(0)) > max_field, "field-length"),
         (quoted.contains('"'), "quotes"),
     ]
     return lines.select("line", F.explode(F.array_compact(F.array(*(F.when(cond, F.lit(name)) for cond, name in rules)))).alias("rule"))
