@@ -20,7 +20,7 @@ MINIMA = 3  # k-mers of a sketch entry
 ENTRIES = 24
 SIMILAR = 0.8
 PAIRS, CELLS = 512, 1_000_000  # pairs, and cells of their bands, that a task aligns at once
-SIGNATURE = 1024  # bits that tell which words a text has
+SIGNATURE, NEIGHBOURS = 1024, 2048  # bits that tell which words a text has, and which pairs of neighbouring words
 _SPARE = 8  # looks at about so many times MINIMA k-mers for each entry, and at all where these don't do
 
 
@@ -74,8 +74,12 @@ def _sketch(k: int, minima: int, entries: int):
             for t in slices(batch.column("text"), SPACED, lower=True):
                 counts.append(np.diff(t.first))
                 hashes = t.hashes(by_byte)
-                has = np.zeros((t.rows, SIGNATURE), bool)
-                has[np.repeat(np.arange(t.rows), counts[-1]), hashes & np.uint64(SIGNATURE - 1)] = True
+                owner = np.repeat(np.arange(t.rows), counts[-1])
+                has = np.zeros((t.rows, SIGNATURE + NEIGHBOURS), bool)
+                has[owner, (hashes & np.uint64(SIGNATURE - 1)).astype(np.int64)] = True
+                both = owner[1:] == owner[:-1]
+                pair = mix(hashes[:-1] * np.uint64(3) ^ hashes[1:])[both] & np.uint64(NEIGHBOURS - 1)
+                has[owner[1:][both], SIGNATURE + pair.astype(np.int64)] = True
                 signatures.append(np.packbits(has, axis=1, bitorder="little").view(np.int64))
                 labelled, bounds = _labelled(t, hashes, k, by_word)
                 sketches.append(order_minhash(labelled, bounds, minima, entries, by_entry))
@@ -84,7 +88,7 @@ def _sketch(k: int, minima: int, entries: int):
             counts, sketches = np.concatenate(counts), np.concatenate(sketches)
             some = counts > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * entries)]).astype(np.int32)), pa.array(sketches[some].ravel().view(np.int64)))
-            words = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * (SIGNATURE // 64)), pa.array(np.concatenate(signatures).ravel()))
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * ((SIGNATURE + NEIGHBOURS) // 64)), pa.array(np.concatenate(signatures).ravel()))
             rows = np.arange(row, row + len(batch))
             row += len(batch)
             yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("ident"), batch.column("text_key"), pa.array(counts), lists, words], ["row", "ident", "text_key", "n_words", "sketch", "words"])
@@ -217,14 +221,19 @@ def _align(similar: float):
 def _in_reach(similar: float, a: str, b: str) -> Column:
     """Whether two nodes (n_words and words as ``n_a``, ``words_a``, ...) can be linked at all.
 
-    Each edit removes one word of a text at most, so a link bears no more words that one text alone
-    has than the edits it allows; bits that one signature alone has are such words.
+    Each edit removes one word of a text at most and breaks two pairs of neighbours, so a link bears no
+    more words that one text alone has than the edits it allows, and twice as many pairs. Bits that
+    one signature alone has stand for one such word or pair at least.
     """
     n_a, n_b, bits_a, bits_b = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"words_{a}"), F.col(f"words_{b}")
     longer = F.greatest(n_a, n_b)
-    only = lambda x, y: sum(F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(SIGNATURE // 64))
     edits = F.floor((1 - similar) * longer + 1e-9)
-    return (F.least(n_a, n_b) >= similar * longer - 1e-9) & (only(bits_a, bits_b) <= edits) & (only(bits_b, bits_a) <= edits)
+    reach = F.least(n_a, n_b) >= similar * longer - 1e-9
+    words, pairs = range(SIGNATURE // 64), range(SIGNATURE // 64, (SIGNATURE + NEIGHBOURS) // 64)
+    for part, each in ((words, 1), (pairs, 2)):
+        for x, y in ((bits_a, bits_b), (bits_b, bits_a)):
+            reach = reach & (sum(F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in part) <= edits * each)
+    return reach
 
 
 def _present(bits: np.ndarray):
