@@ -46,6 +46,24 @@ def test_edge_rows_and_missing_labels(make, labels):
         assert all(accepted[i] for i in range(6, 150)) and not any(accepted[200 + i] for i in range(40))
 
 
+@pytest.mark.parametrize("given", [[], [(i, 1, 0) for i in range(0, 1000, 100)] + [(2000, 1, 1)]], ids=["no labels", "1 % labels"])
+def test_clean_texts_pass_with_few_labels_and_many_insults(make, labels, given):
+    rng = random.Random(2)
+    docs = [(i, prose(rng, 40)[:-1] + f" n{i}.") for i in range(1000)] + [(2000 + i, prose(rng, 30)[:-1] + f" you stupid idiot n{i}.") for i in range(60)]
+    got = quality.classify(make(*docs), labels(*given)).toPandas()
+    insulting = got.doc_id >= 2000
+    assert got.accepted[~insulting].mean() > 0.9 and (got.toxic[insulting] >= 0.5).all()
+
+
+def test_labelled_texts_come_first_into_the_sample(make, labels):
+    rng = random.Random(4)
+    docs = [(i, prose(rng, 30)) for i in range(1000)] + [(1000 + i, prose(rng, 30) + " grubnik") for i in range(15)]
+    given = [(i, 1, 0) for i in range(60)] + [(1000 + i, 1, 1) for i in range(15)]
+    scorer, _ = quality.fit_scorer(make(*docs), labels(*given), texts=75)
+    names, weights, _ = scorer.models[1]
+    assert (names < quality.SPACE).any() and weights[names < quality.SPACE].max() > 0.5
+
+
 def test_nothing_to_classify(make, labels):
     assert quality.classify(make(), labels()).count() == 0
 
