@@ -177,7 +177,7 @@ def context_ok(price: Column, currency: Column, quantity: Column) -> Column:
 def join_prices(
     prices: DataFrame, locations: Deduplicated, proofs: Deduplicated, aliases: DataFrame, retrieved_at: str
 ) -> DataFrame:
-    """Prices with their location, proof and retailer, and the first failing check as ``reject``."""
+    """Prices with their location, proof and retailer, the first failing check as ``reject``, and a digest of the whole record."""
     matches = match_retailers(locations.kept, aliases)
     loc = locations.kept.join(matches, "id").select(
         F.col("id").alias("location_id"), F.lit(True).alias("has_location"), F.lit(False).alias("bad_location"),
@@ -192,7 +192,10 @@ def join_prices(
         F.col("location_id").alias("proof_location"), F.col("date").alias("proof_date"), F.col("type").alias("proof_type"),
     )
     prf = prf.unionByName(proofs.conflicts.select(F.col("id").alias("proof_id"), F.lit(True).alias("bad_proof")), allowMissingColumns=True)
-    joined = prices.join(loc, "location_id", "left").join(prf, "proof_id", "left")
+    # the whole record, so that repeats of an id which differ in any field are seen as a conflict
+    payload = F.sha2(F.to_json(F.struct(*(F.col(f"`{n}`") for n in sorted(prices.columns) if n not in ("id", "line")))), 256)
+    fingerprinted = prices.withColumn("price_payload", payload)
+    joined = fingerprinted.join(loc, "location_id", "left").join(prf, "proof_id", "left")
     c = F.col
     valid_id = lambda name: F.coalesce(c(name) >= 0, F.lit(False))
     reject = (
@@ -227,10 +230,7 @@ def resolve_price_ids(joined: DataFrame) -> DataFrame:
     once to label rows), so they are checkpointed rather than joined again.
     """
     joined = durable(joined)
-    payload = F.sha2(
-        F.to_json(F.struct(*(F.col(c) for c in ("currency", "date", "location_id", "price", "price_per", "product_code", "proof_id", "receipt_quantity", "type")))), 256
-    )
-    lines = conflict_lines(joined.filter("reject is null"), payload)
+    lines = conflict_lines(joined.filter("reject is null"), F.col("price_payload"))
     tagged = joined.join(lines, "id", "left")
     fate = (
         F.when(F.col("line") > F.col("conflict_line"), "conflict-repeat")

@@ -1,9 +1,10 @@
 """Results that caps, prefixes and hash heads once cut or misplaced."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import ids
-from larder.operators import evidence, matching, producers, refresh, search
+from larder.operators import evidence, matching, prices, producers, refresh, search
 from larder.sources import shards
 
 QUEUE = "key string, reason string, priority string, market string, gtin string, evidence_id string"
@@ -71,3 +72,15 @@ def test_control_characters_of_canonical_json(spark):
     import json
 
     assert got == json.dumps({"t": text}, separators=(",", ":"), ensure_ascii=False)
+
+
+@pytest.mark.parametrize("discounts, fates", [((False, True), ["dropped-by-conflict", "conflict"]), ((True, True), ["included", "duplicate"])])
+def test_prices_of_one_id_that_differ_in_any_field_are_a_conflict(spark, discounts, fates):
+    locations = spark.sql("select 3L as id, 1L as line, 'Shop' as osm_name, 'Brand' as osm_brand, 'tag' as osm_tag_value, 'Bonn' as osm_address_city, '53111' as osm_address_postcode, 'DE' as osm_address_country_code")
+    proofs = spark.sql("select 5L as id, 1L as line, 3L as location_id, 'RECEIPT' as type, '2001-02-03' as date, 'EUR' as currency")
+    aliases = spark.sql("select 'shop' as retailer_key, 'stable' as class, 'brand' as alias")
+    price = "'4006381333931' as product_code, 3L as location_id, 5L as proof_id, '2001-02-03' as date, 'EUR' as currency, 1.5D as price, cast(null as string) as price_per, cast(null as double) as receipt_quantity, 'PRODUCT' as type"
+    rows = " union all ".join(f"select 7L as id, {line}L as line, {price}, {str(d).lower()} as price_is_discounted" for line, d in enumerate(discounts, 1))
+    joined = prices.join_prices(spark.sql(rows), prices.drop_conflicting_ids(locations), prices.drop_conflicting_ids(proofs), aliases, "2001-11-05T00:00:00Z")
+    got = prices.resolve_price_ids(joined).orderBy("line").collect()
+    assert [r.fate for r in got] == fates
