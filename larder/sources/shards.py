@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,13 +147,31 @@ def unsorted_rows(rows: DataFrame, shard: str, line: str, key: str) -> DataFrame
     return joined.filter(F.col(key) <= F.col("previous_key")).drop("_s", "_l")
 
 
-def file_digests(spark: SparkSession, path: str, max_bytes: int = MAX_SHARD_BYTES) -> DataFrame:
-    """(file, bytes, sha256) of files within the shard bound; larger ones are listed without reading them."""
+def _streamed_digest(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def file_digests(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(file, bytes, sha256) of all files; beyond a bound that the caller gives they are listed without reading them.
+
+    Files within the shard bound are hashed in the tasks. Larger ones would be one huge cell there, so the
+    driver streams them through the Hadoop file API, a few at a time and in blocks of fixed size.
+    """
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    read = files.filter(F.col("length") <= max_bytes).select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > max_bytes).select(name.alias("file"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"))
-    return read.unionByName(large)
+    in_task = MAX_SHARD_BYTES if max_bytes is None else min(max_bytes, MAX_SHARD_BYTES)
+    read = files.filter(F.col("length") <= in_task).select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > in_task).select("path", name.alias("file"), F.col("length").alias("bytes")).collect()  # one row a file, no content
+    with ThreadPoolExecutor(4) as pool:
+        digests = pool.map(lambda r: None if max_bytes is not None and r.bytes > max_bytes else _streamed_digest(spark, r.path), large)
+        rows = [(r.file, r.bytes, digest) for r, digest in zip(large, digests)]
+    return read.unionByName(spark.createDataFrame(rows, "file string, bytes long, sha256 string"))
 
 
 def manifest_violations(found: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Results that caps, prefixes and hash heads once cut or misplaced."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,11 @@ def test_prices_of_one_id_that_differ_in_any_field_are_a_conflict(spark, discoun
     joined = prices.join_prices(spark.sql(rows), prices.drop_conflicting_ids(locations), prices.drop_conflicting_ids(proofs), aliases, "2001-11-05T00:00:00Z")
     got = prices.resolve_price_ids(joined).orderBy("line").collect()
     assert [r.fate for r in got] == fates
+
+
+def test_files_over_64_mib_have_a_digest(spark, tmp_path):
+    content = bytes(range(256)) * (1 << 18) + b"end"
+    (tmp_path / "large file").write_bytes(content)
+    (tmp_path / "small").write_bytes(b"abc")
+    found = {r.file: (r.bytes, r.sha256) for r in shards.file_digests(spark, str(tmp_path)).collect()}
+    assert found == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in (("large file", content), ("small", b"abc"))}
