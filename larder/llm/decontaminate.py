@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.store import key_filter, may_hold, stored
-from larder.llm.words import BYTE_BASE, PLAIN, WORD_BASE, Powers, mix, slices, window_minima
+from larder.llm.words import PLAIN, WORD_BASE, Powers, mix, slices, window_minima
 
 SPAN = 13  # every shared run of this many words is found
 GRAM = 7  # words in a fingerprint; each window of SPAN - GRAM + 1 grams keeps its least
@@ -30,14 +30,14 @@ def _scanner(span: int, gram: int, short: frozenset[int], bits: np.ndarray | Non
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_byte, by_word = Powers(BYTE_BASE), Powers(WORD_BASE)
+        by_word = Powers(WORD_BASE)
         row = (TaskContext.get().partitionId() << 33) - 1
         for batch in batches:
             counts, found = np.zeros(len(batch), np.int64), [None] * len(batch)
             for t in slices(batch.column("text"), PLAIN, lower=True):
                 n_words = np.diff(t.first)
                 counts[t.row : t.row + t.rows] = n_words
-                hashes = t.hashes(by_byte)
+                hashes = t.hashes()
                 owner = np.repeat(np.arange(t.rows), n_words)
                 spots = []  # (gram, need, position, words before, words from there)
                 at, grams = t.grams(hashes, gram, by_word)

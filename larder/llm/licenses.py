@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.words import BYTE_BASE, PLAIN, Powers, Texts, slices
+from larder.llm.words import PLAIN, Texts, slices
 
 CONTAINED = 0.8  # share of a template's distinct words that a block must hold
 MAX_TEMPLATES = 5000  # the catalog goes to every task, so its size is checked
@@ -49,7 +49,7 @@ class Vocabulary:
     def __init__(self, words: Iterable[bytes]):
         self.words = sorted(set(words))
         one = pa.array([w.decode() for w in self.words], pa.string())
-        hashes = np.concatenate([t.hashes(Powers(BYTE_BASE)) for t in slices(one, PLAIN, lower=True)] or [np.zeros(0, np.uint64)])
+        hashes = np.concatenate([t.hashes() for t in slices(one, PLAIN, lower=True)] or [np.zeros(0, np.uint64)])
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.lengths = np.array([len(w) for w in self.words])[self.order]
@@ -68,12 +68,11 @@ def _frequency(vocabulary: Vocabulary):
     """Arrow task: for each vocabulary word, the texts of a batch that hold it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_byte = Powers(BYTE_BASE)
         n = len(vocabulary.words)
         for batch in batches:
             total = np.zeros(n, np.int64)
             for t in slices(batch.column("text"), PLAIN, lower=True):
-                at, ids = vocabulary.places(t, t.hashes(by_byte))
+                at, ids = vocabulary.places(t, t.hashes())
                 owner = np.searchsorted(t.first, at, "right") - 1
                 total += np.bincount(np.unique(owner * n + ids) % n, minlength=n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total)], ["word", "texts"])
@@ -104,14 +103,13 @@ def _scan(phrases: tuple[tuple[str, str], ...], templates: list[tuple[int, str,
     wanted = [(label, [ids[w] for w in _words(phrase)]) for phrase, label in phrases]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_byte = Powers(BYTE_BASE)
         for batch in batches:
             n_words, n_base = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             first, last = np.full(len(batch), np.iinfo(np.int64).max), np.full(len(batch), -1)
             base, found = [set() for _ in range(len(batch))], [[] for _ in range(len(batch))]
             for t in slices(batch.column("text"), PLAIN, lower=True):
                 n_words[t.row : t.row + t.rows] = np.diff(t.first)
-                at, word = vocabulary.places(t, t.hashes(by_byte))
+                at, word = vocabulary.places(t, t.hashes())
                 for label, phrase in wanted:
                     begin = np.flatnonzero(word == phrase[0])
                     for i, follow in enumerate(phrase[1:], 1):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.components import components
 from larder.llm.store import key_filter, may_hold, stored, text_key
-from larder.llm.words import BYTE_BASE, SPACED, WORD_BASE, Powers, Texts, mix, ramp, slices
+from larder.llm.words import SPACED, WORD_BASE, Powers, Texts, mix, ramp, slices
 
 WORDS = 5  # in a k-mer
 MINIMA = 3  # k-mers of a sketch entry
@@ -67,13 +67,13 @@ def _sketch(k: int, minima: int, entries: int):
     """Arrow task: number of words and sketch of each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_byte, by_word, by_entry = Powers(BYTE_BASE), Powers(WORD_BASE), Powers(WORD_BASE)
+        by_word, by_entry = Powers(WORD_BASE), Powers(WORD_BASE)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             counts, sketches, signatures = [], [], []
             for t in slices(batch.column("text"), SPACED, lower=True):
                 counts.append(np.diff(t.first))
-                hashes = t.hashes(by_byte)
+                hashes = t.hashes()
                 owner = np.repeat(np.arange(t.rows), counts[-1])
                 has = np.zeros((t.rows, SIGNATURE + NEIGHBOURS), bool)
                 has[owner, (hashes & np.uint64(SIGNATURE - 1)).astype(np.int64)] = True
@@ -200,7 +200,7 @@ def _align(similar: float):
     """Arrow task: pairs whose texts have ``1 - edits / longer`` of ``similar`` or more, in words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_byte, by_word = Powers(BYTE_BASE), Powers(WORD_BASE)
+        by_word = Powers(WORD_BASE)
         for whole in batches:
             for at in range(0, len(whole), PAIRS):
                 batch = whole.slice(at, PAIRS)
@@ -208,7 +208,7 @@ def _align(similar: float):
                 for column in ("text_a", "text_b"):
                     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                     for t in slices(batch.column(column), SPACED, lower=True):
-                        hashes.append(t.hashes(by_byte))
+                        hashes.append(t.hashes())
                         counts.append(np.diff(t.first))
                     sides.append(Sequences.of(np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), by_word))
                 longer = np.maximum(*(np.diff(s.first) for s in sides))

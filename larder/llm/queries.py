@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, near_dedup, quality, secrets, sharding, substring_dedup
+from larder.llm import decontaminate, exact_dedup, licenses, line_dedup, merkle, mixing, near_dedup, phrases, quality, secrets, sharding, substring_dedup, warc
 from larder.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,84 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", r"""
+with recursive given as (
+  select doc_id, coalesce('=' || lang, '') as tree, source, lang, n_chars, text,
+         (~list_reduce([4294967295::bigint] || list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii((doc_id::varchar)[i])::bigint),
+            lambda c, b: list_reduce([xor(c, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::bigint)))) & 4294967295 as crc
+  from documents),
+hashed as (
+  select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+            || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head from given),
+leaves as (
+  select doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+         case when crc % 3 = 0 then sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+              else sha256(head || coalesce(strlen(text) || ':' || text, '-')) end as now
+  from hashed),
+placed as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as rank from leaves),
+grown(tree, level, nodes) as (
+  select tree, 0, list(leaf order by rank) from placed group by tree
+  union all
+  select tree, level + 1, list_transform(range((len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[i * 8 + 1:i * 8 + 8], ''))) from grown where len(nodes) > 1),
+subroots as (select tree, nodes[1] as subroot, row_number() over (order by tree) - 1 as rank from grown where len(nodes) = 1),
+above(level, nodes) as (
+  select 0, list(subroot order by rank) from subroots
+  union all
+  select level + 1, list_transform(range((len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[i * 8 + 1:i * 8 + 8], ''))) from above where len(nodes) > 1),
+top as (select nodes[1] as root from above where len(nodes) = 1),
+heights as (select tree, max(level) as height from grown group by tree),
+runs as (
+  select p.doc_id, p.leaf, p.now, p.tree, g.level as step, nodes[(rank >> (3 * level)) // 8 * 8 + 1:(rank >> (3 * level)) // 8 * 8 + 8] as run, (rank >> (3 * level)) % 8 as spot
+  from placed p join grown g using (tree) where len(nodes) > 1
+  union all
+  select p.doc_id, p.leaf, p.now, p.tree, height + a.level, nodes[(s.rank >> (3 * a.level)) // 8 * 8 + 1:(s.rank >> (3 * a.level)) // 8 * 8 + 8], (s.rank >> (3 * a.level)) % 8
+  from placed p join subroots s using (tree) join heights using (tree), above a where len(nodes) > 1),
+paths as (
+  select doc_id, leaf, now, tree, list({'l': array_to_string(run[1:spot], ''), 'r': array_to_string(run[spot + 2:8], '')} order by step) as path from runs group by all)
+select p.doc_id, p.leaf, subroot, root, sha256(array_to_string(list_transform(coalesce(path, []), lambda s: s.l || s.r), '')) as proof_sha256,
+       list_reduce([p.now] || list_transform(coalesce(path, []), lambda s: s.l || '|' || s.r), lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) as folded_root,
+       list_reduce([p.now] || list_transform(coalesce(path, []), lambda s: s.l || '|' || s.r), lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) = root as verified
+from placed p join subroots using (tree), top left join paths x on x.doc_id is not distinct from p.doc_id and x.leaf = p.leaf and x.tree = p.tree
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_warc_archive", """
+select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+       case when strlen(coalesce(html, '')) >= 1000 and page_id < max(page_id) over same then 'revisit' else 'response' end as record_type,
+       case when strlen(coalesce(html, '')) >= 1000 and page_id < max(page_id) over same then max(page_id) over same end as refers_to
+from pages window same as (partition by coalesce(html, ''))
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_phrase_collocations", r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) as piece from documents),
+worded as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from worded group by lang),
+grams as (
+  select lang, k, phrase, count(*) as f
+  from (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from worded, range(1, 6) as lengths(k) where len(w) >= k)
+  group by all having count(*) >= 100),
+longer as (
+  select lang, phrase, max(f) as f
+  from (select lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:k - 1], ' '), array_to_string(string_split(phrase, ' ')[2:k], ' ')]) as phrase from grams where k > 2) group by all),
+kept as (select g.* from grams g left join longer o using (lang, phrase) where k >= 2 and (o.f is null or o.f < g.f)),
+cuts as (
+  select c.lang, c.phrase, c.f as a, cut, l.f as l, r.f as r, n, (1000::hugeint * c.f * n // (l.f::hugeint * r.f))::bigint as score
+  from (select *, unnest(range(1, k)) as cut from kept) c
+  join grams l on l.lang = c.lang and l.phrase = array_to_string(string_split(c.phrase, ' ')[1:cut], ' ')
+  join grams r on r.lang = c.lang and r.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ')
+  join totals t on t.lang = c.lang),
+weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from weakest qualify rank <= 2000
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

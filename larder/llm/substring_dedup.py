@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.store import key_filter, may_hold, stored, text_key
-from larder.llm.words import BYTE_BASE, SECOND_BASE, SPACED, WORD_BASE, Powers, Texts, slices, window_minima
+from larder.llm.words import SPACED, WORD_BASE, Powers, Texts, slices, window_minima
 
 LENGTH = 50
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -47,17 +47,26 @@ def _anchors(t: Texts, hashes: np.ndarray, length: int, powers: Powers) -> tuple
     return at, grams, window_minima(grams, bounds, length - half + 1), bounds
 
 
+def _digests(t: Texts, starts: np.ndarray, owner: np.ndarray, length: int) -> list[bytes]:
+    """SHA-256, cut to 128 bits, of the words of each window: equal for equal words alone, whatever a text is made of."""
+    joined = _joined(t, np.ones(len(t.starts), bool))
+    place = np.concatenate([[0], np.cumsum(t.ends - t.starts + 1)])  # where a word begins if each is followed by one space
+    begin = place[starts] - place[t.first[owner]]
+    end = place[starts + length] - 1 - place[t.first[owner]]
+    return [hashlib.sha256(joined[text][a:b]).digest()[:16] for text, a, b in zip(owner.tolist(), begin.tolist(), end.tolist())]
+
+
 def _first_level(length: int):
     """Arrow task: words, digest and selected half-length windows of each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_byte, by_word = Powers(BYTE_BASE), Powers(WORD_BASE)
+        by_word = Powers(WORD_BASE)
         for batch in batches:
             counts, shas, halves, ats, sizes = [], [], [], [], []
             for t in slices(batch.column("text"), SPACED, lower=False):
                 counts.append(np.diff(t.first))
                 shas += [hashlib.sha256(x).hexdigest() for x in _joined(t, np.ones(len(t.starts), bool))]
-                at, grams, least, _ = _anchors(t, t.hashes(by_byte), length, by_word)
+                at, grams, least, _ = _anchors(t, t.hashes(), length, by_word)
                 least = np.unique(least)
                 owner = np.searchsorted(t.first, at[least], "right") - 1
                 halves.append(grams[least].view(np.int64))
@@ -84,28 +93,26 @@ def _present(bits: np.ndarray):
 
 
 def _second_level(length: int):
-    """Arrow task: all windows of the whole length whose selected half is repeated, as 128-bit hashes."""
+    """Arrow task: all windows of the whole length whose selected half is repeated, as digests of their words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_byte, by_word, second = Powers(BYTE_BASE), Powers(WORD_BASE), Powers(SECOND_BASE)
+        by_word = Powers(WORD_BASE)
         for batch in batches:
             repeated = batch.column("repeated")
             marks, ends = repeated.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(repeated.value_lengths().to_numpy(zero_copy_only=False))])
             for t in slices(batch.column("text"), SPACED, lower=False):
-                hashes = t.hashes(by_byte)
+                hashes = t.hashes()
                 at, _, least, bounds = _anchors(t, hashes, length, by_word)
                 mine = slice(ends[t.row], ends[t.row + t.rows])
                 row_of = np.repeat(np.arange(t.rows), np.diff(ends)[t.row : t.row + t.rows])
                 alive = np.zeros(len(at) + 1, bool)
                 alive[bounds[row_of] + marks[mine]] = True  # a half at word p of a text is the p-th half of it
-                starts, low = t.grams(hashes, length, by_word)
-                stay = alive[least]
-                starts, low = starts[stay], low[stay]
-                high = second.spans(hashes, starts, starts + length)
+                starts = t.grams(hashes, length, by_word)[0][alive[least]]
                 owner = np.searchsorted(t.first, starts, "right") - 1
+                keys = pa.array(_digests(t, starts, owner, length), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), batch.column("doc_id").take(pa.array(owner + t.row)), batch.column("head").take(pa.array(owner + t.row)), pa.array((starts - t.first[owner]).astype(np.int32))],
-                    ["low", "high", "doc_id", "head", "at"],
+                    [keys, batch.column("doc_id").take(pa.array(owner + t.row)), batch.column("head").take(pa.array(owner + t.row)), pa.array((starts - t.first[owner]).astype(np.int32))],
+                    ["window", "doc_id", "head", "at"],
                 )
 
     return run
@@ -141,7 +148,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_i
     Of all halves in a window only the least hash is looked at, which equal windows select alike, so
     the first level has one row per some thirteen words. A half that stands in one text alone drops
     out with all windows that select it; only around repeated halves are windows of twice that length
-    formed, keyed by 128 bits, and those found in two documents survive. A longer window covers no
+    formed, keyed by a digest of their words, and those found in two documents survive. A longer window covers no
     further words, so doubling ends at ``length``.
 
     Documents of equal words are handled once, by the smallest doc_id: the others lose all words if
@@ -162,10 +169,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_i
     alive = stored(alive.join(heads.drop("sha"), "head").withColumn("probe", F.xxhash64("text_key")))
     probed = rows.withColumn("probe", F.xxhash64("text_key")).mapInArrow(_present(key_filter(alive, "probe")), "doc_id long, text string, text_key string, probe long")
     texts = stored(probed.drop("probe").join(alive.drop("probe"), ["doc_id", "text_key"]))
-    windows = texts.select("doc_id", "head", "text", "repeated").mapInArrow(_second_level(length), "low long, high long, doc_id long, head long, at int")
-    first = windows.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    first = stored(first.select("low", "high", "first"))
-    gone = windows.join(first, ["low", "high"]).filter("doc_id > first").groupBy("head").agg(F.collect_list("at").alias("gone"))
+    windows = texts.select("doc_id", "head", "text", "repeated").mapInArrow(_second_level(length), "window binary, doc_id long, head long, at int")
+    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    first = stored(first.select("window", "first"))
+    gone = windows.join(first, "window").filter("doc_id > first").groupBy("head").agg(F.collect_list("at").alias("gone"))
     cut = texts.select("head", "text").join(gone, "head").mapInArrow(_remove(length), "head long, n_removed long, kept_text string").dropDuplicates(["head"])
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= length)
     head_rows = heads.select("sha", "head", F.col("doc_id").alias("first_id")).join(cut, "head", "left")

@@ -1,8 +1,9 @@
 """Words of a whole Arrow column of texts as NumPy arrays: no Python object per word.
 
 Texts are handled in slices of some two megabytes, so memory depends on the longest single text,
-never on the batch. Hashes are polynomial over bytes (or over word hashes) modulo 2^64, taken from
-prefix sums, and mixed at the end.
+never on the batch. A word's hash scrambles its bytes in eights, each with its place in the word. Runs
+of words have polynomials over word hashes modulo 2^64, taken from prefix sums and scrambled at the end;
+these serve to choose and to filter. Where equal hashes decide a result, bytes or digests are compared.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ PLAIN = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 SAME = _BYTES.astype(np.uint8)
 
-BYTE_BASE, WORD_BASE, SECOND_BASE = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+WORD_BASE = 0xD1342543DE82EF95
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the low n bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,8 +69,20 @@ class Texts(NamedTuple):
         """Words at:to joined by one space."""
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[at:to], self.ends[at:to]))
 
-    def hashes(self, powers: Powers) -> np.ndarray:
-        return powers.spans(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """64 bits of each word. Eight bytes at a time pass through a scrambler keyed by their place and the seed."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        size = self.ends - self.starts
+        eights = (size + 7) // 8
+        first = np.cumsum(eights) - eights
+        place = np.arange(int(eights.sum())) - np.repeat(first, eights)
+        at = np.repeat(self.starts, eights) + 8 * place
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        any_eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        chunk = any_eight[at] & _KEEP[np.minimum(np.repeat(self.ends, eights) - at, 8)]
+        mixed = mix(mix(chunk + np.uint64(0x9E3779B97F4A7C15)) ^ mix(place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed + 1)))
+        return mix(np.add.reduceat(mixed, first) + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     def grams(self, hashes: np.ndarray, k: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
         """(positions, hashes) of all runs of k words inside one text."""
