@@ -23,9 +23,11 @@ TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
@@ -94,6 +96,7 @@ def _scan(phrases: tuple[tuple[str, str], ...], templates: list[tuple[int, str,
     """Arrow task: base phrases and template blocks of each text."""
     ids = {w: i for i, w in enumerate(vocabulary.words)}
     catalog = [_Template(n, label, _words(text), ids, rank, contained) for n, label, text in templates]
+    sizes = {template.number: len(template.ids) for template in catalog}
     by_prefix: dict[int, list[_Template]] = {}
     for template in catalog:
         for word in template.prefix:
@@ -148,6 +151,7 @@ def _scan(phrases: tuple[tuple[str, str], ...], templates: list[tuple[int, str,
                             if len(common) >= template.need:
                                 spots = at[a:b][np.isin(word[a:b], list(common))] - t.first[doc]
                                 found[t.row + doc].append({"label": template.label, "template": template.number, "start": int(spots[0]), "end": int(spots[-1]) + 1, "contained": len(common) / len(template.ids)})
+            found = [_best(x, sizes) if len(x) > 1 else x for x in found]
             none = last < 0
             yield pa.RecordBatch.from_arrays(
                 [
@@ -160,11 +164,29 @@ def _scan(phrases: tuple[tuple[str, str], ...], templates: list[tuple[int, str,
     return run
 
 
+def _best(matches: list[dict], sizes: dict[int, int]) -> list[dict]:
+    """The matches that no overlapping one beats: by the share of the template's words, then by how many these are.
+
+    Notices of a family differ in a word or two, so a block that holds one whole holds most of the others.
+    """
+    strength = lambda m: (m["contained"], sizes[m["template"]])
+    active: list[int] = []
+    order = sorted(range(len(matches)), key=lambda i: matches[i]["start"])
+    beaten = set()
+    for i in order:
+        active = [j for j in active if matches[j]["end"] > matches[i]["start"]]
+        for j in active:
+            if strength(matches[j]) != strength(matches[i]):
+                beaten.add(min((i, j), key=lambda k: strength(matches[k])))
+        active.append(i)
+    return [m for i, m in enumerate(matches) if i not in beaten]
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, contained: float = CONTAINED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, matches.
 
-    ``matches`` lists every block that holds at least ``contained`` of the distinct words of a
-    template. Blocks are runs of twice a template's length in words at every multiple of its length, so
+    ``matches`` lists the blocks that hold at least ``contained`` of the distinct words of a template,
+    of overlapping ones the best (``_best``). Blocks are runs of twice a template's length in words at every multiple of its length, so
     a notice of that length lies whole in one of them, however its lines are wrapped. The join is
     exact: words are ordered by the number of texts that hold them, counted over all documents; a
     block is compared with a template only where it holds a word of the template's prefix, its rarest

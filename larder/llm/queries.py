@@ -76,26 +76,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_line_dedup", r"""
 with docs as (select distinct doc_id, substr(sha256(text), 1, 32) as doc_key, string_split(text, chr(10)) as lines from documents where text is not null),
-places as (
-  select coalesce(doc_id, 9223372036854775807) as doc_id, doc_key, unnest(range(len(lines) - 1)) as pos,
-         unnest([lines[i] || chr(10) || lines[i + 1] for i in range(1, len(lines))]) as run
-  from docs where len(lines) >= 2),
-firsts as (select *, min({'doc': doc_id, 'key': doc_key, 'pos': pos}) over (partition by run) as f from places),
-later as (
-  select doc_id, doc_key, pos, f.doc as source_doc, f.key as source_key, f.pos as source_pos
-  from firsts where f <> {'doc': doc_id, 'key': doc_key, 'pos': pos}),
-gone as (
-  select doc_id, doc_key, count(distinct line) as n_removed, list(distinct line) as gone
-  from (select doc_id, doc_key, unnest([pos, pos + 1]) as line from later) group by all),
+begun as (select *, list_filter(range(1, len(lines) + 1), lambda i: i = 1 or regexp_matches(lines[i], '[^\x20\x09-\x0D]')) as starts from docs),
+units as (
+  select coalesce(doc_id, 9223372036854775807) as doc_id, doc_key, unnest(range(len(starts))) as pos, unnest([lines[i] for i in starts]) as line,
+         unnest(list_transform(range(1, len(starts) + 1), lambda u: array_to_string(lines[starts[u]:coalesce(starts[u + 1] - 1, len(lines))], chr(10)))) as unit,
+         unnest(list_transform(range(1, len(starts) + 1), lambda u: coalesce(starts[u + 1], len(lines) + 1) - starts[u])) as height
+  from begun),
+firsts as (select *, min({'doc': doc_id, 'key': doc_key, 'pos': pos}) over (partition by line) as f, regexp_matches(line, '[^\x20\x09-\x0D]') and f <> {'doc': doc_id, 'key': doc_key, 'pos': pos} as gone from units),
+cut as (
+  select doc_id, doc_key, sum(height) filter (where gone)::bigint as n_removed, coalesce(string_agg(unit, chr(10) order by pos) filter (where not gone), '') as kept_text
+  from firsts group by all),
 runs as (
   select doc_id, doc_key, count(*) as n_runs
-  from (select *, lag(pos) over (partition by doc_id, doc_key, source_doc, source_key, pos - source_pos order by pos) as prior from later)
+  from (select *, lag(pos) over (partition by doc_id, doc_key, f.doc, f.key, pos - f.pos order by pos) as prior from firsts where gone)
   where prior is null or prior <> pos - 1 group by all)
 select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs,
-       case when gone is null then d.text
-            else coalesce(array_to_string([string_split(d.text, chr(10))[i + 1] for i in range(len(string_split(d.text, chr(10)))) if not list_contains(gone, i)], chr(10)), '') end as kept_text
+       case when n_removed is null then d.text else c.kept_text end as kept_text
 from documents d
-left join gone g on g.doc_id = coalesce(d.doc_id, 9223372036854775807) and g.doc_key = substr(sha256(d.text), 1, 32)
+left join cut c on c.doc_id = coalesce(d.doc_id, 9223372036854775807) and c.doc_key = substr(sha256(d.text), 1, 32)
 left join runs r on r.doc_id = coalesce(d.doc_id, 9223372036854775807) and r.doc_key = substr(sha256(d.text), 1, 32)
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,29 +104,36 @@ def _secret_sql() -> str:
     """Places from splits and running lengths; owners counted over the whole corpus."""
     branches = []
     for rank, kind in enumerate(secrets.BASE + secrets.MORE):
-        pattern = kind.pattern.replace("'", "''")
+        # DuckDB's patterns can't look behind: a group takes the character before, and its length comes off again
+        pattern = (f"(^|[^{kind.apart}]){kind.pattern}" if kind.apart else kind.pattern).replace("'", "''")
+        before = f"regexp_extract_all(text, '{pattern}', 1)" if kind.apart else "[]::varchar[]"
+        value = kind.value + 1 if kind.apart and kind.value else kind.value
         branches.append(f"""
   select doc_id, text, doc_key, owner, repository, {rank} as rank, '{kind.name}' as kind, {kind.base} as base, {kind.least} as least,
-         unnest(range(1, len(m) + 1)) as i, unnest(v) as value,
+         unnest(range(1, len(m) + 1)) as i, unnest(list_transform(range(1, len(v) + 1), lambda i: {"v[i][coalesce(len(b[i]), 0) + 1:]" if not kind.value else "v[i]"})) as value,
+         unnest(list_transform(range(1, len(m) + 1), lambda i: coalesce(len(b[i]), 0)::bigint)) as lead,
          unnest(list_transform(range(1, len(m) + 1), lambda i: len(p[i])::bigint)) as gap, unnest(list_transform(m, lambda s: len(s)::bigint)) as length
-  from (select *, string_split_regex(text, '{pattern}') as p, regexp_extract_all(text, '{pattern}', 0) as m, regexp_extract_all(text, '{pattern}', {kind.value}) as v from docs)""")
+  from (select *, string_split_regex(text, '{pattern}') as p, {before} as b, regexp_extract_all(text, '{pattern}', 0) as m, regexp_extract_all(text, '{pattern}', {value}) as v from docs)""")
     counts = ", ".join(f"count(*) filter (where kind = '{k.name}') as n_{k.name}" for k in secrets.BASE)
     zero = ", ".join(f"coalesce(n_{k.name}, 0) as n_{k.name}" for k in secrets.BASE)
     return f"""
 with docs as (
-  select doc_id, coalesce(text, '') as text, substr(sha256(coalesce(text, '')), 1, 32) as doc_key, source as owner,
+  select doc_id, coalesce(text, '') as text, substr(sha256(coalesce(text, '')), 1, 32) as doc_key, coalesce(source, chr(0)) as owner,
          coalesce(source, '') || '/' || coalesce(lang, '') as repository from documents),
 listed as ({' union all '.join(branches)}),
 found as (
   select *, sum(gap + length) over (partition by doc_id, doc_key, rank order by i) as "end" from listed qualify len(value) >= least),
-owned as (select value, count(distinct coalesce(owner, chr(0))) as n_owners from found group by 1),
-judged as (select distinct doc_id, doc_key, rank, kind, base, ("end" - length)::bigint as start, "end"::bigint as "end", n_owners >= 2 as example from found join owned using (value)),
+by_text as (select value, doc_key, min({{'o': owner, 'r': repository}}) as held from found group by all),
+owned as (select value, count(distinct held.o) as n_owners, count(distinct held) as n_repositories from by_text group by 1),
+judged as (
+  select distinct doc_id, doc_key, rank, kind, base, ("end" - length + lead)::bigint as start, "end"::bigint as "end", n_owners >= {secrets.OWNERS} or n_repositories >= {secrets.REPOSITORIES} as example
+  from found join owned using (value)),
 per as (
   select doc_id, doc_key, {counts},
          string_agg(kind || ':' || start || ':' || "end", ',' order by start, rank) filter (where base) as base_spans,
          string_agg(kind || ':' || start || ':' || "end", ',' order by start, rank) as spans,
          count(*) filter (where not example) as n_live, count(*) filter (where example) as n_example
-  from judged where base or not example group by all)
+  from judged group by all)
 select d.doc_id, {zero}, sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
 from docs d left join per p on p.doc_key = d.doc_key and p.doc_id is not distinct from d.doc_id
 """
@@ -170,9 +175,15 @@ places as (
 base as (select r, count(*) as n_base, min(spot) as first_word, max(spot) as last_word, list(distinct label) as labels from places group by r),
 rarely as (select r, w, label, t, len(list_distinct(t)) as n from docs, catalog where len(list_intersect(w, t)) >= ceil({licenses.CONTAINED} * len(list_distinct(t)) - 1e-9)),
 blocks as (
-  select r, label, n, len(list_intersect(w[b * len(t) + 1:b * len(t) + 2 * len(t)], t)) as shared
+  select r, label, n, b, w, t, len(t) as stride, len(list_intersect(w[b * len(t) + 1:b * len(t) + 2 * len(t)], t)) as shared
   from (select *, unnest(range(((len(w) - 1) // len(t) + 1)::bigint)) as b from rarely)),
-matched as (select r, max(shared / n) as contained, list(distinct label) as labels from blocks where shared >= ceil({licenses.CONTAINED} * n - 1e-9) group by r)
+hits as (
+  select *, shared / n as contained, list_filter(range(b * stride, least(b * stride + 2 * stride, len(w))), lambda i: list_contains(t, w[i + 1])) as spots
+  from blocks where shared >= ceil({licenses.CONTAINED} * n - 1e-9)),
+best as (
+  select * from hits h where not exists (
+    select 1 from hits o where o.r = h.r and o.spots[1] <= h.spots[-1] and h.spots[1] <= o.spots[-1] and (o.contained > h.contained or (o.contained = h.contained and o.n > h.n)))),
+matched as (select r, max(contained) as contained, list(distinct label) as labels from best group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(matched.labels, [])))), ','), '') as labels,
@@ -259,7 +270,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_phrase_collocations", r"""
 with pieces as (
   select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) as piece from documents),
+-
+]')) as piece from documents),
 worded as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from pieces),
 totals as (select lang, sum(len(w))::bigint as n from worded group by lang),
 grams as (

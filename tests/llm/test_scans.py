@@ -42,14 +42,31 @@ def test_base_spans(make, case):
 
 def test_owners_separate_examples_from_live_values(make):
     jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
-    docs = [(1, "token=example-value", "a"), (2, "token=example-value", "b"), (3, f"token=only-mine-1 {jwt}", "a"), (4, "token=only-mine-1", "a"), (5, "x https://u:hunter22@h y", "a"), (6, "https://v:hunter22@h", "b")]
+    token = "ghp_" + "a1" * 12
+    docs = [(1, "token=example-value", "a"), (2, "token=example-value x", "b"), (3, f"token=only-mine-1 {jwt}", "a"), (4, "token=only-mine-1", "a"), (5, "x https://u:hunter22@h y", "a"), (6, "https://v:hunter22@h", "b")]
+    docs += [(7, token, "a"), (8, token, "b"), (9, f"see {token}", "a")]
     got = {r.doc_id: r for r in secrets.secret_report(make(*docs), F.col("source"), F.col("source")).collect()}
     assert (got[1].n_live, got[1].n_example) == (0, 1) and got[1].spans == "assign:0:19"
     assert (got[4].n_live, got[4].n_example) == (1, 0)
     assert got[3].spans == f"assign:0:17,jwt:18:{18 + len(jwt)}"
-    assert got[5].spans == "" and got[6].spans == ""
+    assert got[5].spans == "url:2:21" and got[6].spans == "url:0:19" and got[5].n_example == got[6].n_example == 1
+    # a copied document counts once, and all spans are listed
+    assert [(got[i].spans, got[i].n_live) for i in (7, 8, 9)] == [(f"hosted:0:{len(token)}", 1), (f"hosted:0:{len(token)}", 1), (f"hosted:4:{4 + len(token)}", 1)]
     owned = secrets.ownership(secrets.candidates(make(*docs), F.col("source"), F.col("doc_id")))
-    assert sorted(tuple(r)[1:] for r in owned.collect()) == [(1, 1, 1), (2, 2, 1), (2, 2, 2), (2, 2, 2)]
+    assert sorted(tuple(r)[1:] for r in owned.collect()) == [(1, 1, 1, 1), (2, 2, 2, 1), (2, 2, 2, 2), (2, 2, 2, 2), (3, 2, 2, 1)]
+
+
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(make):
+    docs = [(i, f"t{i} password=changeme1", "a") for i in range(3)] + [(9, "password=mine-alone", "a")]
+    got = {r.doc_id: r for r in secrets.secret_report(make(*docs), F.col("source"), F.col("doc_id").cast("string")).collect()}
+    assert [got[i].n_example for i in (0, 1, 2, 9)] == [1, 1, 1, 0]
+
+
+def test_long_runs_are_searched_in_linear_time(make):
+    n = 1_000_000
+    docs = [(1, "a" * n + " ://"), (2, "a" * n + "://u:secret-word@h"), (3, "eyJ" * (n // 3)), (4, "0123456789abcdef" * (n // 16) + " https://x"), (5, "token" * (n // 5)), (6, "-----BEGIN " + "A " * (n // 2))]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(make(*docs), F.col("source"), F.col("source")).collect()}
+    assert got == {1: "", 2: f"url:0:{n + 16}", 3: "", 4: f"hex:0:{n}", 5: "", 6: ""}
 
 
 def brute_licenses(text, contained=licenses.CONTAINED):
@@ -62,13 +79,18 @@ def brute_licenses(text, contained=licenses.CONTAINED):
         places += spots
         if spots:
             base.add(label)
+    hits = []
     for label, body in licenses.TEMPLATES:
         t = plain_words(body)
         for start in range(0, len(words), len(t)):
-            share = len(set(words[start : start + 2 * len(t)]) & set(t)) / len(set(t))
-            if share >= contained - 1e-9:
-                labels.add(label)
-                best = max(best, share)
+            shared = set(words[start : start + 2 * len(t)]) & set(t)
+            if len(shared) / len(set(t)) >= contained - 1e-9:
+                spots = [start + i for i, w in enumerate(words[start : start + 2 * len(t)]) if w in shared]
+                hits.append((spots[0], spots[-1], (len(shared) / len(set(t)), len(set(t))), label))
+    for a, z, strength, label in hits:
+        if not any(x <= z and a <= y and other > strength for x, y, other, _ in hits):
+            labels.add(label)
+            best = max(best, strength[0])
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(best, 9))
 
 
@@ -77,13 +99,20 @@ def test_licenses_equal_brute_force(make):
     docs = [
         (1, "All rights reserved. ALL RIGHTS\nreserved, cc-by"), (2, f"intro {apache} outro"), (3, "filler " * 100 + bsd.replace(" ", "\n") + " é" * 50),
         (4, "licensed the apache version 2 0"), (5, None), (6, ""), (7, "the of and to " * 5000), (7, f"{apache} {apache}"), (None, "Released under the MIT License."),
-        (8, "cc by"), (9, "cc"), (10, "by cc"),
+        (8, "cc by"), (9, "cc"), (10, "by cc"), (11, "Licensed under CC BY 4.0"), (12, "Licensed under CC BY-NC 4.0"), (13, "licensed under cc by-sa 4.0 or else licensed under cc by 4.0"),
+        (14, licenses.TEMPLATES[4][1]), (15, licenses.TEMPLATES[6][1]), (16, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. " * 3),
     ]
     got = licenses.scan_licenses(make(*docs))
     flat = got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_join(F.array_sort(F.array_distinct("matches.label")), ",").alias("l"), F.round(F.coalesce(F.array_max("matches.contained"), F.lit(0.0)), 9).alias("s"))
     assert rows(flat, *flat.columns) == sorted(((d, *brute_licenses(t)) for d, t in docs), key=repr)
 
 
+def test_licences_of_a_family_are_told_apart(make):
+    docs = [(i, f"Some text. {body}. More text follows here.") for i, (_, body) in enumerate(licenses.TEMPLATES) if _.startswith("cc-")]
+    got = licenses.scan_licenses(make(*docs)).collect()
+    assert all({m.label for m in r.matches} == {licenses.TEMPLATES[r.doc_id][0]} for r in got)
+
+
 def test_licenses_of_no_documents(make):
     assert licenses.scan_licenses(make()).count() == 0
 
