@@ -111,7 +111,7 @@ def csv_lint(i: Inputs):
 
 _SHARD = {
     "gtin": "case when k % 97 > 4 then lpad(code, 14, '0') else code end", "original_barcode": "case when k % 51 = 0 then ' ' else code end",
-    "market": "case when k % 53 = 0 then 'FR' else 'DE' end", "brand": "case when k % 17 = 0 then '' else p_brand end", "product_name": "p_name", "variant": "''",
+    "market": "case when k % 53 = 0 then 'FR' else 'DE' end", "brand": "case when k % 17 = 0 then '' else p_brand end", "product_name": "case when k % 29 = 0 then concat(p_name, chr(10), 'zweite Zeile') else p_name end", "variant": "''",
     "quantity": "case when k % 4 = 0 then '' else concat(cast(p_size as string), ' g') end", "category": "case when k % 3 = 0 then lower(p_type) else '' end",
     "identity_confidence": "case when k % 59 = 0 then 'sure' else 'medium' end", "identity_source_key": "concat('source-', cast(k % 9 as string))",
     "identity_source_record_id": "concat('rec-', cast(k as string))", "identity_retrieved_at": "case when k % 61 = 0 then '2001-01-01' else '2001-02-03T04:05:06Z' end",
@@ -127,7 +127,7 @@ _SHARD = {
     "retailer_snapshot_at": "''", "retailer_location_id": "''", "retailer_source_url": "''", "retailer_scope": "''", "retailer_limitations": "case when k % 5 < 2 then 'dated, local only' else '' end",
 }
 view("shard_cell", "code")(
-    "select k as line, " + ", ".join(f"{_SHARD[c]} as {c}" for c in SHARD_COLUMNS) + " from (select k, code from code where k % 97 <> 1) c join {part} on p_partkey = k"
+    "select k as line, " + ", ".join(f"{_SHARD[c]} as {c}" for c in SHARD_COLUMNS) + " from code c join {part} on p_partkey = k"
 )
 view("shard_csv", "shard_cell")(
     "select line, concat_ws(',', " + ", ".join(f"concat('\"', {c}, '\"')" for c in SHARD_COLUMNS) + ") as value from shard_cell"
@@ -146,7 +146,11 @@ def shard_rows(i: Inputs):
 
 @query("read_csv_shards", "shard_cell", f"select line, sha256(concat_ws('|', {', '.join(SHARD_COLUMNS)})) as row_hash from shard_cell")
 def read_csv_shards(i: Inputs):
-    return shard_rows(i).select("line", F.sha2(F.concat_ws("|", *SHARD_COLUMNS), 256).alias("row_hash"))
+    """The shards are written as files, quoted line breaks and all, and read back."""
+    folder = shared_folder(i.spark, "shards")
+    i.view("shard_cell").select(*SHARD_COLUMNS).write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    rows = shards.read_shards(i.spark, folder)
+    return rows.select(F.substring_index("identity_source_record_id", "-", -1).cast("long").alias("line"), F.sha2(F.concat_ws("|", *SHARD_COLUMNS), 256).alias("row_hash"))
 
 
 def _jsonobj(pairs: dict[str, str]) -> str:
@@ -245,15 +249,43 @@ def csv_safe_sink(i: Inputs):
     return shards.csv_safe(i.view("cell"))
 
 
-@query("snapshot_digest_manifest")
-def snapshot_digest_manifest(i: Inputs):
-    found = shards.file_digests(i.spark, f"{i.sf_dir}/*.parquet")
-    first = F.substring("file", 1, 1)
-    manifest = found.filter(first != "r").select(
-        "file", F.when(first == "e", F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"),
-        F.when(first == "p", F.sha2("file", 256)).otherwise(F.col("sha256")).alias("sha256"),
+view("export_line")(
+    """
+select c_nationkey as k, c_custkey as n, concat(cast(c_custkey as string), ';', c_name, ';', c_mktsegment) as value from {customer}
+"""
+)
+
+
+def export_manifest(lines):
+    """What the exports should be, from the table and not from the files; some entries are wrong on purpose."""
+    body = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n"), F.lit("\n"))
+    whole = lines.groupBy("k").agg(body.alias("body"), F.count("*").alias("records"))
+    k = F.col("k")
+    return whole.filter(k % 8 != 7).select(
+        F.concat(F.lit("export="), F.when(k % 8 == 6, k + 100).otherwise(k).cast("string")).alias("file"),
+        (F.octet_length("body") + F.when(k % 8 == 1, 1).otherwise(0)).cast("long").alias("bytes"),
+        F.when(k % 8 == 2, F.sha2(k.cast("string"), 256)).otherwise(F.sha2("body", 256)).alias("sha256"),
+        (F.col("records") + F.when(k % 8 == 3, 1).otherwise(0)).alias("records"),
     )
-    return shards.manifest_violations(found, manifest)
+
+
+@query(
+    "snapshot_digest_manifest", "export_line",
+    """
+w as (select k, string_agg(value, chr(10) order by n) || chr(10) as body, count(*) as records from export_line group by k),
+m as (select 'export=' || case when k % 8 = 6 then k + 100 else k end as file, octet_length(encode(body)) + case when k % 8 = 1 then 1 else 0 end as bytes,
+  case when k % 8 = 2 then sha256(k::varchar) else sha256(body) end as sha256, records + case when k % 8 = 3 then 1 else 0 end as records from w where k % 8 <> 7),
+f as (select 'export=' || k as file, octet_length(encode(body)) as bytes, sha256(body) as sha256, records from w)
+select * from (select coalesce(f.file, m.file) as file, case when m.file is null then 'not-listed' when f.file is null then 'missing' when f.bytes <> m.bytes then 'size'
+  when f.sha256 <> m.sha256 then 'digest' when f.records <> m.records then 'records' end as problem from f full join m on m.file = f.file) x where problem is not null""",
+)
+def snapshot_digest_manifest(i: Inputs):
+    """One export a nation is written, one file each, and judged by a manifest made from the table."""
+    folder = shared_folder(i.spark, "exports")
+    lines = i.view("export_line")
+    lines.repartition("k").sortWithinPartitions("k", "n").select("k", "value").write.partitionBy("k").text(folder)
+    found = shards.file_digests(i.spark, f"{folder}/*/*.txt", whole_bytes=4096, name=lambda path: F.concat(F.lit("export="), F.regexp_extract(path, "/k=([0-9]+)/", 1)))
+    return shards.manifest_violations(found, export_manifest(lines))
 
 
 @query("stream_snapshot_ingest")

@@ -104,7 +104,8 @@ found as (select *, case
     when contains(payload, '/01/') then nullif(regexp_extract(payload, '/01/(.{{14}})', 1), '')
     when starts_with(payload, '(01)') then substr(payload, 5, 14) when starts_with(payload, ']C101') then substr(payload, 6, 14) end as inner_code
   from payload)
-select scan_id, payload, coalesce({duck.gtin('payload')}, {duck.gtin('inner_code')}) as gtin from found""",
+select scan_id, payload, coalesce({duck.gtin('bare')}, {duck.gtin('inner_bare')}) as gtin
+from (select *, regexp_replace(payload, '[\\s\\p{{Z}}-]', '', 'g') as bare, regexp_replace(inner_code, '[\\s\\p{{Z}}-]', '', 'g') as inner_bare from found) x""",
 )
 def gs1_payload_extract(i: Inputs):
     direct = barcodes.with_retail_barcode(i.view("payload"), F.col("payload"), F.lit("qr"), "direct", "direct_error")

@@ -2,40 +2,63 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import barcodes, clock, ids, text
+from larder.schemas import SHARD_COLUMNS, SHARD_SCHEMA
+from larder.sources.records import read_records
 
-from larder.schemas import SHARD_SCHEMA
-
-MAX_SHARD_BYTES = 64 * 1024 * 1024
+WHOLE_BYTES = 64 * 1024 * 1024  # a file of this size is one cell of a row
+_DIGEST = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()), ("records", pa.int64())])
 CONFIDENCE = ["low", "medium", "high"]
 RETAILER_KINDS = ["community-store-report", "retailer-observation"]
 LANGUAGE = r"\A(?:[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})*|und)\z"
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Plain or gzip CSV shards with the fixed header; empty cells are empty text, as in the files."""
-    rows = (
-        spark.read.schema(SHARD_SCHEMA).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
-        .option("multiLine", True).option("escape", '"').csv(path)
+    """Plain or gzip CSV shards with the fixed header; empty cells are empty text, as in the files.
+
+    Files are split among tasks at any place (``records.read_records``). A file with another header,
+    or a record with another number of cells, ends the read with an error that names the file.
+    """
+    rows = read_records(spark, path)
+    header = F.when(F.replace("value", F.lit(chr(34)), F.lit("")) == ",".join(SHARD_COLUMNS), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("unexpected header in "), "file")).cast("boolean")
     )
-    return rows.fillna("").withColumn("file", F.col("_metadata.file_path"))
+    cells = F.size(F.split(bare_fields(F.col("value")), ","))
+    width = F.when(cells == len(SHARD_COLUMNS), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("record "), F.col("record").cast("string"), F.lit(" has "), cells.cast("string"), F.lit(" cells in "), "file")).cast("boolean")
+    )
+    # the header is checked where it stands and goes; the check is the filter, so it cannot be optimised away
+    good = rows.filter(F.when(F.col("record") == 0, ~header).otherwise(width))
+    parsed = good.select("file", "record", F.from_csv("value", SHARD_SCHEMA, {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "lineSep": "\u0001"}).alias("r"))
+    return parsed.select("file", "record", "r.*").fillna("")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Shard rows from CSV text lines."""
-    return lines.select("line", F.from_csv("value", SHARD_SCHEMA, {"escape": '"'}).alias("r")).select("line", "r.*").fillna("")
+    return lines.select("line", F.from_csv("value", SHARD_SCHEMA, {"escape": '"', "maxCharsPerColumn": "-1"}).alias("r")).select("line", "r.*").fillna("")
+
+
+# Possessive runs: one step a run, so a field of any length costs no stack.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+
+
+def bare_fields(value: Column) -> Column:
+    """A CSV record with each quoted field replaced by ``q``: what is left holds the separators and stray quotes only."""
+    return F.regexp_replace(value, _QUOTED, "q")
 
 
 def csv_violations(lines: DataFrame, max_columns: int = 256, max_field: int = 1_000_000, max_line: int = 4_000_000) -> DataFrame:
     """(line, rule) for lines that break the bounds of the CSV contract."""
     value = F.col("value")
-    quoted = F.regexp_replace(value, r'"(?:[^"]|"")*"', "q")
-    fields = F.regexp_extract_all(value, F.lit(r'(?:"(?:[^"]|"")*"|[^,"])+'), F.lit(0))
+    quoted = bare_fields(value)
+    fields = F.regexp_extract_all(value, F.lit(rf'(?:{_QUOTED}|[^,"]++)++'), F.lit(0))
     bare = lambda f: F.regexp_replace(F.regexp_replace(f, r'^"|"$', ""), '""', '"')
     rules = [
         (F.octet_length(value) > max_line, "line-bytes"), (value.contains("\u0000"), "nul"),
@@ -47,6 +70,16 @@ def csv_violations(lines: DataFrame, max_columns: int = 256, max_field: int = 1_
     return lines.select("line", F.explode(F.array_compact(F.array(*(F.when(cond, F.lit(name)) for cond, name in rules)))).alias("rule"))
 
 
+def file_violations(records: DataFrame, max_bytes: int, max_rows: int = 1_000_000) -> DataFrame:
+    """(file, rule) for files of CSV records (file, value) that are too long: ``file-bytes`` or ``file-rows``.
+
+    Line breaks count as one byte each. Counts are aggregates, so a large file is no single task.
+    """
+    sizes = records.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.count("*").alias("rows"))
+    rules = F.array_compact(F.array(F.when(F.col("bytes") > max_bytes, F.lit("file-bytes")), F.when(F.col("rows") > max_rows, F.lit("file-rows"))))
+    return sizes.select("file", F.explode(rules).alias("rule"))
+
+
 def row_violations(rows: DataFrame, policies: DataFrame, market: str) -> DataFrame:
     """(line, rule) against the row contract; hosts and source keys come from the source policies."""
     c = F.col
@@ -147,39 +180,73 @@ def unsorted_rows(rows: DataFrame, shard: str, line: str, key: str) -> DataFrame
     return joined.filter(F.col(key) <= F.col("previous_key")).drop("_s", "_l")
 
 
-def _streamed_digest(spark: SparkSession, path: str) -> str:
-    jvm = spark.sparkContext._jvm
-    file = jvm.org.apache.hadoop.fs.Path(path)
-    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
-    try:
-        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-    finally:
-        stream.close()
+def _line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow task: SHA-256 and record count of files whose lines come in order."""
+    name, size, state, seen, lines = None, 0, None, 0, 0
+
+    def done() -> pa.RecordBatch:
+        nonlocal lines
+        if seen == size - 1:  # the file ends with a line break
+            state.update(b"\n")
+        elif seen != size:
+            raise ValueError(f"{name}: {seen} of {size} bytes were read")
+        return pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "sha256": [state.hexdigest()], "records": [lines]}, _DIGEST)
+
+    for batch in batches:
+        for file, length, value in zip(*(batch.column(c) for c in ("file", "bytes", "value"))):
+            if file.as_py() != name:
+                if name is not None:
+                    yield done()
+                name, size, state, seen, lines = file.as_py(), length.as_py(), hashlib.sha256(), 0, 0
+            if lines:
+                state.update(b"\n")
+                seen += 1
+            piece = value.as_buffer()
+            state.update(piece)
+            seen, lines = seen + piece.size, lines + 1
+    if name is not None:
+        yield done()
 
 
-def file_digests(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """(file, bytes, sha256) of all files; beyond a bound that the caller gives they are listed without reading them.
+def _base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
 
-    Files within the shard bound are hashed in the tasks. Larger ones would be one huge cell there, so the
-    driver streams them through the Hadoop file API, a few at a time and in blocks of fixed size.
+
+def file_digests(spark: SparkSession, path: str, max_bytes: int | None = None, whole_bytes: int = WHOLE_BYTES, name: Callable[[Column], Column] = _base_name) -> DataFrame:
+    """(file, bytes, sha256, records) of all files; records are lines, an unfinished last one included.
+
+    ``name`` derives the name of a file from its path. Beyond a bound that the caller gives, files are
+    listed without reading them.
+
+    A file of up to ``whole_bytes`` is hashed as one cell where it is read. The lines of a larger one are
+    read in blocks like any text, dealt by file and sorted there (on disk, if need be), and one task
+    hashes them as a stream. So content never meets the driver, nor one task more than a line of it.
     """
     files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    in_task = MAX_SHARD_BYTES if max_bytes is None else min(max_bytes, MAX_SHARD_BYTES)
-    read = files.filter(F.col("length") <= in_task).select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > in_task).select("path", name.alias("file"), F.col("length").alias("bytes")).collect()  # one row a file, no content
-    with ThreadPoolExecutor(4) as pool:
-        digests = pool.map(lambda r: None if max_bytes is not None and r.bytes > max_bytes else _streamed_digest(spark, r.path), large)
-        rows = [(r.file, r.bytes, digest) for r, digest in zip(large, digests)]
-    return read.unionByName(spark.createDataFrame(rows, "file string, bytes long, sha256 string"))
+    small = files.filter(F.col("length") <= (whole_bytes if max_bytes is None else min(max_bytes, whole_bytes)))
+    body = F.col("content").cast("string")
+    breaks = F.length("content") - F.octet_length(F.replace(body, F.lit("\n")))
+    open_line = ((F.length("content") > 0) & (F.substring(F.hex(F.expr("substring(content, -1, 1)")), 1, 2) != "0A")).cast("long")
+    small = small.select(name(F.col("path")).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), (breaks + open_line).alias("records"))
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).filter(meta["file_size"] > whole_bytes).select(
+        name(F.url_decode(F.replace(meta["file_path"], F.lit("+"), F.lit("%2B")))).alias("file"), meta["file_size"].alias("bytes"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value")
+    )
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    large = lines.filter(F.lit(max_bytes is None) | (F.col("bytes") <= F.lit(max_bytes))).repartition(tasks, "file").sortWithinPartitions("file", "block", "at").mapInArrow(_line_digests, "file string, bytes long, sha256 string, records long")
+    found = small.unionByName(large)
+    if max_bytes is None:
+        return found
+    refused = files.filter(F.col("length") > max_bytes).select(name(F.col("path")).alias("file"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("long").alias("records"))
+    return found.unionByName(refused)
 
 
 def manifest_violations(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(file, problem) where files and manifest disagree."""
-    both = found.join(manifest.select("file", F.col("bytes").alias("_b"), F.col("sha256").alias("_s")), "file", "full")
+    """(file, problem) where files and manifest (file, bytes, sha256, records) disagree."""
+    both = found.join(manifest.select("file", F.col("bytes").alias("_b"), F.col("sha256").alias("_s"), F.col("records").alias("_r")), "file", "full")
     problem = (
-        F.when(F.col("_b").isNull(), "not-listed").when(F.col("bytes").isNull(), "missing").when(F.col("sha256").isNull(), "too-large")
-        .when(F.col("bytes") != F.col("_b"), "size").when(F.col("sha256") != F.col("_s"), "digest")
+        F.when(F.col("_b").isNull(), "not-listed").when(F.col("bytes").isNull(), "missing")
+        .when(F.col("sha256").isNull(), "too-large").when(F.col("bytes") != F.col("_b"), "size").when(F.col("sha256") != F.col("_s"), "digest").when(F.col("records") != F.col("_r"), "records")
     )
     return both.withColumn("problem", problem).filter("problem is not null").select("file", "problem")
 

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import catalog
@@ -53,10 +54,65 @@ def test_manifest_digest_and_size(spark, tmp_path):
     (tmp_path / "a").write_text("one")
     (tmp_path / "b").write_text("two" * 50)
     found = shards.file_digests(spark, str(tmp_path), max_bytes=100)
-    manifest = spark.createDataFrame([("a", 3, hashlib.sha256(b"one").hexdigest()), ("b", 150, "x"), ("c", 1, "x")], "file string, bytes bigint, sha256 string")
+    manifest = spark.createDataFrame([("a", 3, hashlib.sha256(b"one").hexdigest(), 1), ("b", 150, "x", 1), ("c", 1, "x", 1)], "file string, bytes bigint, sha256 string, records bigint")
     assert {(r.file, r.problem) for r in shards.manifest_violations(found, manifest).collect()} == {("b", "too-large"), ("c", "missing")}
 
 
+def test_digests_of_large_files_are_streamed_in_tasks(spark, tmp_path):
+    bodies = {"lines": b"ab\n" * 5000, "open": b"x\n" * 3000 + b"end", "binary": bytes(range(256)) * 40, "breaks": b"\n" * 9, "one": b"\xff\xfe\x00" * 3000, "end": b"\n" + b"y" * 4000 + b"\r\n"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    want = {n: (len(b), hashlib.sha256(b).hexdigest(), b.count(b"\n") + (b != b"" and not b.endswith(b"\n"))) for n, b in bodies.items()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for bound in (4, 3000, 1 << 20):
+            assert {r.file: tuple(r)[1:] for r in shards.file_digests(spark, str(tmp_path), whole_bytes=bound).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_quoted_line_breaks_across_blocks(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(8)
+    for name in "abc":
+        out = io.StringIO(newline="")
+        writer = csv.writer(out, lineterminator="\r\n" if name == "b" else "\n", quoting=csv.QUOTE_MINIMAL)
+        writer.writerow(SHARD_COLUMNS)
+        for r in range(40):
+            writer.writerow([rng.choice(["", "plain", 'say "hi"', "two\nlines", "a,b", '"\n\n"', "long " * 60 + "\nend", '""', "x\r\ny"]) for _ in SHARD_COLUMNS])
+        (tmp_path / f"{name}.csv").write_text(out.getvalue(), newline="")
+    want = sorted((f, i, *row) for f in "abc" for i, row in enumerate(csv.reader(open(tmp_path / f"{f}.csv", newline=""))) if i)
+    for size in ("97", "5000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = sorted((r.file[-5], r.record, *tuple(r)[2:]) for r in shards.read_shards(spark, str(tmp_path)).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == want
+
+
+@pytest.mark.parametrize("body", ["wrong,header\n1,2\n", ",".join(SHARD_COLUMNS) + "\nonly,three,cells\n"])
+def test_files_that_are_no_shards_end_the_read(spark, tmp_path, body):
+    (tmp_path / "x.csv").write_text(body)
+    with pytest.raises(Exception, match="x.csv"):
+        shards.read_shards(spark, str(tmp_path)).collect()
+
+
+def test_csv_bounds_hold_for_fields_of_any_length(spark):
+    long = "y" * 1_000_001
+    cases = [f'a,"{long}",b', f"a,{long},b", f'a,"{long[:-1]}",b', 'a,"' + 'q""' * 200_000 + '",c', f'a,"{long}', "a,b\x07"]
+    lines = spark.createDataFrame(list(enumerate(cases)), "line bigint, value string")
+    got = {(r.line, r.rule) for r in shards.csv_violations(lines).collect()}
+    assert got == {(0, "field-length"), (1, "field-length"), (4, "field-length"), (4, "quotes"), (5, "control-character")}
+    records = spark.createDataFrame([("f", "ab")] * 5 + [("g", "abcdefghij")], "file string, value string")
+    assert {(r.file, r.rule) for r in shards.file_violations(records, 14, 4).collect()} == {("f", "file-bytes"), ("f", "file-rows")}
+
+
 def test_stream_is_idempotent_on_redelivery(spark, tmp_path):
     landing, table, progress = (str(tmp_path / n) for n in ("landing", "table", "progress"))
     (tmp_path / "landing").mkdir()
