@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import pickle
 import re
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import ids
 from larder.functions.udfs import fold_text, fold_with_offsets
-from larder.operators.evidence import union_all
 from larder.session import durable
 
-MAX_RULES_PER_PASS = 2000
-RUN = re.compile(r"[a-z0-9]+")
+ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 MATCH_SCHEMA = "doc_id string, alias_id string, start int, end int, span string, match_kind string"
 # Outcomes that make a finding material, and states that need a new look at the text.
 MATERIAL = ["prohibited-candidate", "ambiguous-review-required", "acceptable-with-evidence"]
@@ -35,115 +39,115 @@ def folded_texts(texts: DataFrame) -> DataFrame:
     return texts.withColumn("f", fold_text("text")).select("*", "f.norm", "f.offsets").drop("f")
 
 
-def _pattern(folded: str, kind: str) -> str:
-    """Pattern over folded text: whole tokens, a token prefix, or an E-number with optional gap."""
-    if kind == "e-number":
-        body = r"e\s*" + "".join(c for c in folded if c.isdigit())
-    else:
-        body = r"\s+".join(map(re.escape, folded.split()))
-    tail = "[a-z0-9]*" if kind == "token-prefix" else ""
-    return rf"(?<![a-z0-9]){body}{tail}(?![a-z0-9])"
-
-
-def _passes(rules: DataFrame) -> list[list]:
-    """Rule rows on the driver, in groups small enough to ship to every task.
-
-    A rule set is a reviewed, hand-written list; one past the bound is split over several passes
-    instead of being shipped whole.
-    """
-    total = rules.count()
-    parts = max(1, -(-total // MAX_RULES_PER_PASS))
-    if parts == 1:
-        return [rules.collect()]
-    bucket = F.pmod(F.xxhash64("alias_id"), F.lit(2 * parts))
-    return [rules.filter(bucket == n).collect() for n in range(2 * parts)]
-
-
 class Matcher:
-    """Aliases indexed by their first word, so a text is read once however many aliases there are.
+    """All aliases in one automaton, so a text is read once however many aliases there are.
 
-    A match starts where a run of ASCII letters and digits starts. The run either equals the alias's
-    first run or, for prefixes, begins with it; the alias's own pattern then decides. An alias of kind
-    ``anywhere`` matches at every place its letters stand, inside words and over itself too.
+    Both texts and aliases are folded, with single spaces, so an alias stands in a text letter by letter.
+    But for kind ``anywhere`` a match must not touch an ASCII letter or digit on either side; a
+    ``token-prefix`` takes the rest of its run of these along; an E-number may have a gap after its E.
     """
 
-    def __init__(self, rows) -> None:
-        self.exact: dict[str, list] = {}
-        self.prefix: dict[str, list] = {}
-        self.other: list = []
-        self.anywhere: list = []
-        for r in rows:
-            folded, _ = fold_with_offsets(r.alias)
+    def __init__(self, rows: Iterable[tuple[str, str, str, str]]) -> None:
+        self.languages: set[str] = set()
+        entries: dict[str, list[tuple[str, str, str]]] = {}
+        for alias_id, language, alias, kind in rows:
+            folded, _ = fold_with_offsets(alias or "")
             if not folded:
                 continue
-            if r.match == "anywhere":
-                self.anywhere.append((r.alias_id, folded))
-                continue
-            entry = (r.alias_id, r.match, re.compile(_pattern(folded, r.match)))
-            head = RUN.match(folded)
-            if r.match == "e-number":
+            language = (language or "").casefold()
+            self.languages.add(language)
+            if kind == "e-number":
                 digits = "".join(c for c in folded if c.isdigit())
-                for run in {"e", f"e{digits}"}:
-                    self.exact.setdefault(run, []).append(entry)
-            elif head is None:
-                self.other.append(entry)
-            elif r.match == "token-prefix" and head.end() == len(folded):
-                self.prefix.setdefault(folded, []).append(entry)
+                forms = (f"e{digits}", f"e {digits}") if digits else ("e",)
             else:
-                self.exact.setdefault(head.group(), []).append(entry)
-        self.widths = sorted({len(p) for p in self.prefix})
-
-    def find(self, norm: str) -> Iterator[tuple[str, str, int, int]]:
-        """(alias_id, match, start, end) of all matches; but for ``anywhere`` those of one alias do not overlap."""
+                forms = (folded,)
+            for form in forms:
+                entries.setdefault(form, []).append((alias_id, language, kind))
+        self.automaton = ahocorasick.Automaton()
+        for form, those in entries.items():
+            self.automaton.add_word(form, (len(form), those))
+        if entries:
+            self.automaton.make_automaton()
+        self.empty = not entries
+
+    def find(self, norm: str, language: str) -> Iterator[tuple[str, str, int, int]]:
+        """(alias_id, kind, start, end) of the aliases of a language and of ``und``; but for ``anywhere`` those of one alias do not overlap."""
+        if self.empty:
+            return
+        own = {"und", language} if language in self.languages else {"und"}
+        found = []
+        for last, (width, those) in self.automaton.iter(norm):
+            start, end = last + 1 - width, last + 1
+            free = start == 0 or norm[start - 1] not in ALNUM
+            closed = end == len(norm) or norm[end] not in ALNUM
+            run_end = end
+            for alias_id, of, kind in those:
+                if of not in own:
+                    continue
+                if kind == "anywhere":
+                    yield alias_id, kind, start, end
+                elif free and kind == "token-prefix":
+                    while run_end < len(norm) and norm[run_end] in ALNUM:
+                        run_end += 1
+                    found.append((start, run_end, alias_id, kind))
+                elif free and closed:
+                    found.append((start, end, alias_id, kind))
         ends: dict[str, int] = {}
-        for run in RUN.finditer(norm):
-            word, start = run.group(), run.start()
-            candidates = list(self.exact.get(word, ()))
-            for width in self.widths:
-                if width > len(word):
-                    break
-                candidates += self.prefix.get(word[:width], ())
-            for alias, kind, pattern in candidates:
-                m = pattern.match(norm, start)
-                if m and start >= ends.get(alias, 0):
-                    ends[alias] = m.end()
-                    yield alias, kind, start, m.end()
-        for alias, kind, pattern in self.other:
-            for m in pattern.finditer(norm):
-                yield alias, kind, m.start(), m.end()
-        for alias, folded in self.anywhere:
-            at = norm.find(folded)
-            while at >= 0:
-                yield alias, "anywhere", at, at + len(folded)
-                at = norm.find(folded, at + 1)
+        for start, end, alias_id, kind in sorted(found):
+            if start >= ends.get(alias_id, 0):
+                ends[alias_id] = end
+                yield alias_id, kind, start, end
+
+
+class Shipped:
+    """Rows that every task needs, as a file that Spark hands to each node once, not as part of each task."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        raw = pickle.dumps(value)
+        self.name = f"larder-rules-{hashlib.sha256(raw).hexdigest()[:16]}.pickle"
+        path = os.path.join(tempfile.mkdtemp(prefix="larder-rules-"), self.name)  # the driver's own; Spark copies it from here
+        with open(path, "wb") as out:
+            out.write(raw)
+        spark.sparkContext.addFile(path)
+
+    def load(self) -> object:
+        with open(SparkFiles.get(self.name), "rb") as raw:
+            return pickle.load(raw)
+
+
+def _shipped(df: DataFrame, columns: list[str]) -> Shipped:
+    """The distinct rows of a reviewed list of aliases or codes, read on the driver in Arrow form."""
+    table = df.select(*columns).distinct().toArrow()
+    return Shipped(df.sparkSession, sorted(zip(*(table.column(c).to_pylist() for c in columns)), key=repr))
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts dealt evenly over as many tasks as a shuffle has: a file's blocks say nothing of the work in front of Python."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def match_rules(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Every occurrence of every alias: texts (doc_id, text, language), aliases (alias_id, language, alias, match).
 
-    An alias applies to its language or, as ``und``, to all. Spans point into the source text.
+    An alias applies to its language or, as ``und``, to all. Spans point into the source text. One pass
+    over the texts, whatever the number of aliases.
     """
+    rules = _shipped(aliases, ["alias_id", "language", "alias", "match"])
 
-    def one_pass(rows: list) -> DataFrame:
-        by_language: dict[str, Matcher] = {}
-        languages = {r.language.casefold() for r in rows}
-        for language in languages | {"und"}:
-            by_language[language] = Matcher(r for r in rows if r.language.casefold() in ("und", language))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for doc, source, language in zip(batch.doc_id, batch.text, batch.language):
-                    norm, at = fold_with_offsets(source)
-                    base = (language or "").split("-")[0].casefold()
-                    for alias, kind, start, end in by_language.get(base, by_language["und"]).find(norm):
-                        first, last = int(at[start]), int(at[end - 1]) + 1
-                        out.append((doc, alias, first, last, source[first:last], kind))
-                yield pd.DataFrame(out, columns=["doc_id", "alias_id", "start", "end", "span", "match_kind"])
-
-        return texts.select("doc_id", "text", "language").filter("text is not null").mapInPandas(scan, MATCH_SCHEMA)
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(rules.load())
+        for batch in batches:
+            out = []
+            for doc, source, language in zip(batch.doc_id, batch.text, batch.language):
+                norm, at = fold_with_offsets(source)
+                base = (language or "").split("-")[0].casefold()
+                for alias, kind, start, end in matcher.find(norm, base):
+                    first, last = int(at[start]), int(at[end - 1]) + 1
+                    out.append((doc, alias, first, last, source[first:last], kind))
+            yield pd.DataFrame(out, columns=["doc_id", "alias_id", "start", "end", "span", "match_kind"])
 
-    return union_all(*(one_pass(rows) for rows in _passes(aliases)))
+    rows = spread(texts.select("doc_id", "text", "language").filter("text is not null"))
+    return rows.mapInPandas(scan, MATCH_SCHEMA)
 
 
 def drop_overlapping(matches: DataFrame, excluded: DataFrame, width: int = 64) -> DataFrame:
@@ -179,10 +183,13 @@ def rule_findings(texts: DataFrame, aliases: DataFrame, contexts: DataFrame) ->
     return drop_overlapping(hits, excused).drop("alias_id").distinct()
 
 
-def match_additives(texts: DataFrame, additives: DataFrame, names: DataFrame) -> DataFrame:
-    """All additive mentions: E-numbers in the raw text, names in the folded text of the text's language."""
+def match_additives(texts: DataFrame, additives: DataFrame, names: DataFrame, named: bool = False) -> DataFrame:
+    """All additive mentions: E-numbers in the raw text, names in the folded text of the text's language.
+
+    With ``named`` a column ``name_id`` tells which name was found, null for an E-number.
+    """
     wanted = additives.filter("status <> 'removed'").select(F.col("additive_id").alias("alias_id"))
-    codes = {r.alias_id for rows in _passes(wanted) for r in rows}
+    listed = _shipped(wanted, ["alias_id"])
     numbers = [
         re.compile(
             rf"(?<![a-z0-9])e\s*((?:\d\s*){{{width - 1}}}\d)(?:\s*([a-z]))?(?:\s*\(\s*([ivx](?:\s*[ivx])*)\s*\))?",
@@ -193,6 +200,7 @@ def match_additives(texts: DataFrame, additives: DataFrame, names: DataFrame) ->
     token = re.compile(r"[A-Za-z0-9]")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = {code for (code,) in listed.load()}
         for batch in batches:
             out = []
             for doc, source in zip(batch.doc_id, batch.text):
@@ -209,11 +217,23 @@ def match_additives(texts: DataFrame, additives: DataFrame, names: DataFrame) ->
                             out.append((doc, code, m.start(), stop, source[m.start() : stop], "e-number"))
             yield pd.DataFrame(out, columns=["doc_id", "alias_id", "start", "end", "span", "match_kind"]).drop_duplicates()
 
-    by_number = texts.select("doc_id", "text").filter("text is not null").mapInPandas(scan, MATCH_SCHEMA)
+    by_number = spread(texts.select("doc_id", "text").filter("text is not null")).mapInPandas(scan, MATCH_SCHEMA)
     live = names.join(wanted.withColumnRenamed("alias_id", "additive_id"), "additive_id", "left_semi")
     by_name = match_rules(texts, live.withColumn("match", F.lit("phrase")))
-    by_name = by_name.join(live.select("alias_id", "additive_id"), "alias_id").drop("alias_id").withColumn("match_kind", F.lit("name"))
-    return by_number.withColumnRenamed("alias_id", "additive_id").unionByName(by_name).distinct()
+    by_name = by_name.join(live.select("alias_id", "additive_id"), "alias_id").withColumnRenamed("alias_id", "name_id").withColumn("match_kind", F.lit("name"))
+    found = by_number.withColumnRenamed("alias_id", "additive_id").withColumn("name_id", F.lit(None).cast("string")).unionByName(by_name)
+    return (found if named else found.drop("name_id")).distinct()
+
+
+def first_additives(mentions: DataFrame) -> DataFrame:
+    """One mention of each additive and text, as a device shows it: the first E-number, else the first place of the first of its names.
+
+    ``mentions`` come from ``match_additives`` with ``named``; names are in order of their ids. An
+    aggregate by text and additive, so a text with many mentions shrinks inside the tasks.
+    """
+    order = F.struct((F.col("match_kind") != "e-number").alias("by_name"), F.col("name_id").alias("name_id"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("span").alias("span"), F.col("match_kind").alias("match_kind"))
+    first = mentions.groupBy("doc_id", "additive_id").agg(F.min(order).alias("m"))
+    return first.select("doc_id", "additive_id", "m.start", "m.end", "m.span", "m.match_kind")
 
 
 def methodology_report(facts: DataFrame, found: DataFrame) -> DataFrame:

@@ -81,6 +81,11 @@ def additive_match(i: Inputs):
     return M.match_additives(i.view("note"), i.view("additive"), i.view("additive_name"))
 
 
+@query("additive_first_match")
+def additive_first_match(i: Inputs):
+    return M.first_additives(M.match_additives(i.view("note"), i.view("additive"), i.view("additive_name"), named=True))
+
+
 view("span")(
     """
 select concat('doc-', cast(l_orderkey % 3000 as string)) as doc_id, concat('rule-', cast(l_linenumber % 3 as string)) as rule_id,

@@ -39,12 +39,34 @@ def test_rule_matches_equal_a_scan_with_every_pattern(spark):
     assert got == brute(rows, ALIASES) and got
 
 
-def test_rules_past_the_bound_are_split_over_passes(spark, monkeypatch):
-    monkeypatch.setattr(M, "MAX_RULES_PER_PASS", 2)
+def test_any_number_of_rules_is_one_pass(spark):
     rows = texts(2)
+    many = ALIASES + [(f"m{i}", "r1", "und", f"word{i} e{i}", "phrase") for i in range(5000)] + [("none", "r1", "en", " - ", "token")]
+    df = spark.createDataFrame(rows + [("hit", "x word77 E77. word4999-e4999", "fr"), ("nothing", "", "en"), ("null", None, None)], "doc_id string, text string, language string")
+    aliases = spark.createDataFrame(many, "alias_id string, rule_id string, language string, alias string, match string")
+    found = M.match_rules(df, aliases)
+    got = {(r.doc_id, r.alias_id, r.start, r.end) for r in found.collect()}
+    assert got == brute(rows, ALIASES) | {("hit", "m77", 2, 12), ("hit", "m4999", 14, 28)}
+
+
+def test_matches_beside_other_scripts_and_inside_words(spark):
+    rows = [("1", "жpork pork東 sporkp", "en"), ("2", "porkpork a a a", "de"), ("3", "Schweinefleisch schweine-fett", "de")]
     df = spark.createDataFrame(rows, "doc_id string, text string, language string")
-    aliases = spark.createDataFrame(ALIASES, "alias_id string, rule_id string, language string, alias string, match string")
-    assert {(r.doc_id, r.alias_id, r.start, r.end) for r in M.match_rules(df, aliases).collect()} == brute(rows, ALIASES)
+    aliases = ALIASES + [("any", "r9", "und", "pork", "anywhere"), ("zz", "r9", "en", "東", "token")]
+    frame = spark.createDataFrame(aliases, "alias_id string, rule_id string, language string, alias string, match string")
+    got = {(r.doc_id, r.alias_id, r.start, r.end) for r in M.match_rules(df, frame).collect()}
+    anywhere = {("1", "any", 1, 5), ("1", "any", 6, 10), ("1", "any", 13, 17), ("2", "any", 0, 4), ("2", "any", 4, 8)}
+    assert {g for g in got if g[1] == "any"} == anywhere
+    assert {g for g in got if g[1] != "any"} == brute(rows, [a for a in aliases if a[4] != "anywhere"])
+
+
+def test_first_mention_of_an_additive(spark):
+    docs = [("1", "acid, E 330 and E330", "en"), ("2", "sour acid acid", "en"), ("3", "nothing", "en")]
+    df = spark.createDataFrame(docs, "doc_id string, text string, language string")
+    additives = spark.createDataFrame([("E330", "active")], "additive_id string, status string")
+    names = spark.createDataFrame([("n2", "E330", "en", "sour"), ("n1", "E330", "en", "acid")], "alias_id string, additive_id string, language string, alias string")
+    got = sorted((r.doc_id, r.additive_id, r.start, r.span, r.match_kind) for r in M.first_additives(M.match_additives(df, additives, names, named=True)).collect())
+    assert got == [("1", "E330", 6, "E 330", "e-number"), ("2", "E330", 5, "acid", "name")]
 
 
 def test_overlap_exclusion_equals_pairwise_check(spark):
