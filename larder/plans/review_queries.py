@@ -66,12 +66,55 @@ def fold_text_with_offsets(i: Inputs):
                          F.element_at("offsets", -1).alias("last_offset"))
 
 
-@query("rule_match")
+_FOLD = r"lower(strip_accents(nfc_normalize(replace(lower({x}), 'ß', 'ss'))))"
+_FOLD_ALIAS = f"trim(regexp_replace({_FOLD.format(x='alias')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+# Texts letter by letter: each folded letter with its source position, runs of others as one space, then whole words.
+_WORDS = rf"""
+letter as materialized (select doc_id, unnest(range(len(text))) as i, unnest(string_split(text, '')) as c from note where text is not null),
+folded as materialized (
+  select c, unnest(range(1, len(f) + 1)) as j, unnest([case when regexp_matches(x, '[\p{{L}}\p{{N}}]') then x else ' ' end for x in string_split(f, '')]) as ch
+  from (select c, {_FOLD.format(x="c")} as f from (select distinct c from letter) x) y where f <> ''),
+plain as (select doc_id, i, j, ch from letter join folded using (c)),
+kept as materialized (
+  select doc_id, i, ch, row_number() over (partition by doc_id order by i, j) as p
+  from (select *, lag(ch, 1, ' ') over (partition by doc_id order by i, j) as prior from plain) x where not (ch = ' ' and prior = ' ')),
+word as materialized (
+  select doc_id, w, string_agg(ch, '' order by p) as tok, min(i) as first, max(i) as last, row_number() over (partition by doc_id order by w) as n
+  from (select *, count(*) filter (where ch = ' ') over (partition by doc_id order by p rows unbounded preceding) as w from kept) x where ch <> ' ' group by doc_id, w),
+spelled as materialized (select doc_id, list(tok order by n) as toks, list(last order by n) as lasts from word group by doc_id),
+found as (
+  select n.doc_id, a.alias_id, x.first as start, lasts[x.n + len(aw) - 1] + 1 as "end", a.match as match_kind
+  from (select *, string_split(folded, ' ') as aw from (select *, {_FOLD_ALIAS} as folded from rule_alias) f where folded <> '' and match in ('token', 'phrase')) a
+  join word x on x.tok = aw[1] join spelled s on s.doc_id = x.doc_id and toks[x.n:x.n + len(aw) - 1] = aw join note n on n.doc_id = x.doc_id and a.language in ('und', lower(split_part(n.language, '-', 1)))
+  union all
+  select n.doc_id, a.alias_id, x.first, x.last + 1, a.match from (select *, {_FOLD_ALIAS} as folded from rule_alias) a
+  join word x on starts_with(x.tok, folded) join note n on n.doc_id = x.doc_id and a.language in ('und', lower(split_part(n.language, '-', 1))) where a.match = 'token-prefix' and folded <> ''
+  union all
+  select n.doc_id, a.alias_id, x.first, case when x.tok = 'e' then lasts[x.n + 1] else x.last end + 1, a.match from (select *, regexp_replace(alias, '\D', '', 'g') as digits from rule_alias) a
+  join word x on x.tok in ('e', 'e' || digits) join spelled s on s.doc_id = x.doc_id and (x.tok <> 'e' or toks[x.n + 1] = digits)
+  join note n on n.doc_id = x.doc_id and a.language in ('und', lower(split_part(n.language, '-', 1))) where a.match = 'e-number')"""
+
+
+@query("rule_match", "note rule_alias", f"""{_WORDS}
+select f.doc_id, alias_id, start::int as start, "end"::int as "end", n.text[start + 1:"end"] as span, match_kind from found f join note n on n.doc_id = f.doc_id""")
 def rule_match(i: Inputs):
     return M.match_rules(i.view("note"), i.view("rule_alias"))
 
 
-@query("rule_findings")
+_FINDINGS = f"""{_WORDS},
+norm as materialized (select doc_id, string_agg(ch, '' order by p) as norm, list(i order by p) as ix from kept group by doc_id),
+excuse as (
+  select doc_id, rule_id, ix[q + 1] as start, ix[q + len(folded)] + 1 as "end"
+  from (select n.*, c.rule_id, c.folded, unnest(list_filter(range(len(norm)), lambda q: norm[q + 1:q + len(c.folded)] = c.folded)) as q
+        from norm n join (select *, {_FOLD_ALIAS} as folded from rule_context) c on c.folded <> '' and contains(n.norm, c.folded)) x),
+finding as (
+  select distinct f.doc_id, a.rule_id, a.outcome, a.queue, a.reason_code, start::int as start, "end"::int as "end", f.match_kind
+  from found f join rule_alias a using (alias_id)
+  where not exists (select 1 from excuse x where x.doc_id = f.doc_id and x.rule_id = a.rule_id and f.start < x."end" and x.start < f."end"))"""
+
+
+@query("rule_findings", "note rule_alias rule_context", f"""{_FINDINGS}
+select f.*, n.text[start + 1:"end"] as span from finding f join note n on n.doc_id = f.doc_id""")
 def rule_findings(i: Inputs):
     return M.rule_findings(i.view("note"), i.view("rule_alias"), i.view("rule_context"))
 
