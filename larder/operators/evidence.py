@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.ranking import id_range, ordinal_in_group
+from larder.functions.ranking import ordinal_by_ranges
 from larder.session import durable
 
 
@@ -156,7 +156,7 @@ def supersession(records: DataFrame) -> DataFrame:
 
 def child_positions(children: DataFrame, parent: list[str]) -> DataFrame:
     """0-based position of each child inside its parent, in id order, whatever form the ids have."""
-    return ordinal_in_group(children, parent, id_range("id"), ["id"], "position")
+    return ordinal_by_ranges(children, parent, ["id"], "position")
 
 
 def position_gaps(children: DataFrame, parent: str) -> DataFrame:

@@ -91,9 +91,13 @@ def language_conflict(localized: Column, base: Column, lang: Column) -> Column:
     return F.when(lang.rlike(text.LANGUAGE_TAG) & differs, other)
 
 
-def ingredient_count(declared: Column, parsed: Column | None = None) -> Column:
+def ingredient_count(declared: Column, listed: Column | None = None) -> Column:
+    """The declared count if it is not negative, else the number of objects in the ingredient list (JSON text)."""
     valid = F.when(declared >= 0, declared)
-    return valid if parsed is None else F.coalesce(valid, F.when(parsed.isNotNull(), F.size(parsed)))
+    if listed is None:
+        return valid
+    items = F.from_json(F.when(listed.rlike(r"\A\s*\["), listed), "array<string>")
+    return F.coalesce(valid, F.when(items.isNotNull(), F.size(F.filter(items, lambda v: v.startswith("{")))))
 
 
 def _signals(tests: dict[str, Column]) -> Column:
@@ -178,7 +182,7 @@ def candidates(raw: DataFrame, source: P.SourcePolicy) -> DataFrame:
         category_tags=canonical_tags("categories", c("categories_tags"), c("tags_sources")),
         countries=canonical_tags("countries", c("countries_tags"), c("tags_sources")),
         best=F.try_element_at(ingredient_texts(c("localized"), c("ingredients_text"), c("lang")), F.lit(1))["text"],
-        ingredient_count=ingredient_count(c("ingredients_n")),
+        ingredient_count=ingredient_count(c("ingredients_n"), c("ingredients") if "ingredients" in raw.columns else None),
         assigned=no_barcode(c("codes_tags"), F.lit(None), F.lit(None).cast("boolean")),
     )
     labels = canonical_tags("labels", c("labels_tags"), c("tags_sources"))

@@ -93,6 +93,10 @@ NAME = """coalesce(case when trim(product_name_de) <> '' then product_name_de en
   case when trim(generic_name) <> '' then generic_name end,
   concat('Open Food Facts product ', code))"""
 
+# The declared count, else the objects of the ingredient list.
+COUNT = """coalesce(case when ingredients_n >= 0 then ingredients_n end,
+  case when json_type(ingredients) = 'ARRAY' then len(list_filter(json_extract(ingredients, '$[*]'), lambda v: json_type(v) = 'OBJECT'))::int end)"""
+
 # The whole candidate projection; needs the raw_product view.
 CANDIDATE = f"""{INGREDIENT_TEXTS}, {IMAGES},
 tagged as (
@@ -103,9 +107,9 @@ candidate as (
     case when list_contains(coalesce(codes_tags, []), 'en:source-assigned-no-barcode')
          then 'source-assigned-no-barcode' else 'retail-gtin' end as barcode_kind,
     {NAME} as name, case when trim(brands) <> '' then brands end as brand,
-    i.text as ingredients_text, ingredients_n as ingredient_count, category_tags,
+    i.text as ingredients_text, {COUNT} as ingredient_count, category_tags,
     {category_signals('category_tags')} as category_signals,
-    {formulation_signals('i.text', 'ingredients_n')} as formulation_signals,
+    {formulation_signals('i.text', COUNT)} as formulation_signals,
     case when len(list_filter(labels, lambda v: contains(lower(v), 'halal'))) > 0 then ['review'] else [] end as evidence_signals,
     {RETAILER_KEYS} as retailer_keys,
     list_sort(list_distinct(list_filter(list_transform(packaging, lambda v: {slug('v')}), lambda k: k <> ''))) as package_signals,

@@ -90,6 +90,7 @@ rev as (select *, id as record_id from review), rsn as (select distinct assessme
 ])}
 union all select 'selection-superseded-ingredient', id, ingredient_id from selection
 where ingredient_id in (select supersedes_id from ingredient where supersedes_id is not null)""",
+    materialized=True,
 )
 def referential_violations(i: Inputs):
     return E.referential_violations(Envelope(i))

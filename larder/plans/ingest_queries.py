@@ -13,10 +13,11 @@ from larder.plans.evidence import ALL, Envelope
 from larder.plans.inputs import AS_OF, Inputs, array_of, view
 from larder.plans.quality_queries import AT, ts
 from larder.plans.registry import query
-from larder.policy import SourcePolicy
+from larder.policy import SelectionPolicy, SourcePolicy
 from larder.schemas import SHARD_COLUMNS
 from larder.sources import jsonl, shards
-from larder.streaming.ingest import ingest, shared_folder
+from larder.session import shared_folder
+from larder.streaming.ingest import ingest
 
 SOURCE = SourcePolicy()
 MAX_LINE = 256
@@ -288,7 +289,16 @@ def snapshot_digest_manifest(i: Inputs):
     return shards.manifest_violations(found, export_manifest(lines))
 
 
-@query("stream_snapshot_ingest")
+_ID = {"gtin": "gtin", "market": "market", "sourceRecordID": "source_record_id", "name": "name", "brand": "brand", "reason": "reason"}
+
+
+@query(
+    "stream_snapshot_ingest", "raw_product",
+    f"""{duck.CANDIDATE}, {duck.decided(SelectionPolicy())}
+select 'ev:identity:sha256:' || sha256({_jsonobj(_ID)}) as id, gtin, market, source_record_id, name, reason as reason_code, 0 as batch
+from decided join (select line as l, schema_version from raw_product) v on v.l = decided.line
+where decision = 'include-detailed' and schema_version = '{SOURCE.schema_version}'""",
+)
 def stream_snapshot_ingest(i: Inputs):
     """The raw products land as JSON lines, twice; the second delivery adds nothing."""
     raw = i.view("raw_product").withColumnRenamed("source_record_id", "_id").drop("line", "owner", "allergens_de")

@@ -86,6 +86,8 @@ select p.p_partkey as line, c.code as code, concat('rec-', cast(p.p_partkey as s
        when p.p_partkey % 37 = 3 then '{{{{"import":{{{{"countries":["fr:france"],"categories":["en:cakes"]}}}}}}}}' end as tags_sources,
   {array_of("case when p.p_partkey % 53 = 0 then 'en:source-assigned-no-barcode' end")} as codes_tags,
   case when p.p_size % 4 = 3 then cast(null as int) else cast(p.p_size % 4 as int) end as ingredients_n,
+  case when p.p_partkey % 3 = 0 then '[{{{{"id":"en:salt","percent":1}}}},"water",{{{{"id":"en:nut","ingredients":[{{{{"id":"x"}}}}]}}}}]'
+       when p.p_partkey % 7 = 0 then '[]' when p.p_partkey % 11 = 0 then '"none"' end as ingredients,
   case when p.p_partkey % 6 <> 1 then d.text end as ingredients_text,
   case when d.lang = 'de' or p.p_partkey % 19 = 0 then d.text || case when p.p_partkey % 5 = 0 then ' (Zucker)' else '' end end as ingredients_text_de,
   case when d.lang = 'en' and p.p_partkey % 2 = 0 then d.text end as ingredients_text_en,
@@ -143,9 +145,10 @@ def closure(names) -> list[str]:
     return order
 
 
-def ctes(names) -> str:
-    return ",\n".join(f"{name} as ({VIEWS[name][1]})" for name in closure(names))
+def ctes(names, materialized: bool = False) -> str:
+    once = "materialized " if materialized else ""
+    return ",\n".join(f"{name} as {once}({VIEWS[name][1]})" for name in closure(names))
 
 
-def oracle_ctes(names) -> str:
-    return ctes(names).format(**{t: t for t in TABLES})
+def oracle_ctes(names, materialized: bool = False) -> str:
+    return ctes(names, materialized).format(**{t: t for t in TABLES})

@@ -183,8 +183,8 @@ def language_conflicts(i: Inputs):
     f"""{duck.INGREDIENT_TEXTS},
 tagged as (select r.*, i.text as best, {duck.tags('categories')} as tags from raw_product r
            left join ingredient_text i on i.line = r.line and i.position = 0)
-select line, cast(ingredients_n as varchar) as ingredient_count, {duck.joined(duck.category_signals('tags'))} as category_signals,
-  {duck.joined(duck.formulation_signals('best', 'ingredients_n'))} as formulation_signals from tagged""",
+select line, cast({duck.COUNT} as varchar) as ingredient_count, {duck.joined(duck.category_signals('tags'))} as category_signals,
+  {duck.joined(duck.formulation_signals('best', duck.COUNT))} as formulation_signals from tagged""",
 )
 def product_signals(i: Inputs):
     c = N.candidates(raw(i), SOURCE)

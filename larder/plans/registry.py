@@ -14,8 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, views: str = "", sql: str | None = None):
-    """Register a function of ``Inputs``; ``sql`` may open with its own CTEs and refer to ``views``."""
+def query(name: str, views: str = "", sql: str | None = None, materialized: bool = False):
+    """Register a function of ``Inputs``; ``sql`` may open with its own CTEs and refer to ``views``, evaluated once each if ``materialized``."""
 
     def keep(fn: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +25,14 @@ def query(name: str, views: str = "", sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = _assemble(views.split(), sql.strip())
+            ORACLES[name] = _assemble(views.split(), sql.strip(), materialized)
         return fn
 
     return keep
 
 
-def _assemble(views: list[str], sql: str) -> str:
-    head = oracle_ctes(views)
+def _assemble(views: list[str], sql: str, materialized: bool) -> str:
+    head = oracle_ctes(views, materialized)
     opens_with_cte = re.match(r"\w+\s+as\s*(materialized\s*)?\(", sql, re.IGNORECASE) is not None
     if not head:
         return f"with recursive {sql}" if opens_with_cte else sql

@@ -13,6 +13,7 @@ from larder.plans.inputs import Inputs
 from larder.plans.normalization import CANDIDATE_ARRAYS, SOURCE, joined, raw
 from larder.plans.registry import query
 from larder.policy import BasicRule, SelectionPolicy
+from larder.session import shared_folder
 
 POLICY = SelectionPolicy()
 # The previous policy of the comparison: no bakery or snack category, nuts not known, unknown milk counts allowed.
@@ -142,3 +143,19 @@ from decided c join earlier p on p.line = c.line where c.decision <> p.decision
 )
 def policy_comparison(i: Inputs):
     return S.compare_policies(candidates(i), POLICY, PREVIOUS)
+
+
+@query(
+    "decision_changes", "raw_product",
+    f"""{DECIDED}, {duck.decided(PREVIOUS, 'earlier')},
+now as (select source_record_id, gtin, decision, reason from decided where line % 50 <> 1), was as (select source_record_id, gtin, decision, reason from earlier where line % 50 <> 2)
+select coalesce(n.source_record_id, w.source_record_id) as source_record_id, coalesce(n.gtin, w.gtin) as gtin, w.decision as previous_decision, w.reason as previous_reason,
+  n.decision as current_decision, n.reason as current_reason
+from now n full join was w on w.source_record_id = n.source_record_id where n.decision is distinct from w.decision or n.reason is distinct from w.reason""",
+)
+def decision_changes(i: Inputs):
+    """Two stored runs, each with records that the other lacks, read back and compared."""
+    folder, line = shared_folder(i.spark, "decisions"), F.col("line")
+    S.classify(candidates(i), POLICY).filter(line % 50 != 1).select("source_record_id", "gtin", "decision", "reason").write.parquet(f"{folder}/now")
+    S.classify(candidates(i), PREVIOUS).filter(line % 50 != 2).select("source_record_id", "gtin", "decision", "reason").write.parquet(f"{folder}/was")
+    return S.compare_versions(i.spark.read.parquet(f"{folder}/now"), i.spark.read.parquet(f"{folder}/was"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 RAW_PRODUCT = (
     "code string, _id string, schema_version string, product_type string, lang string, product_name string, "
     "generic_name string, brands string, quantity string, countries_tags array<string>, categories_tags array<string>, "
-    "labels_tags array<string>, tags_sources string, codes_tags array<string>, ingredients_n int, ingredients_text string, "
+    "labels_tags array<string>, tags_sources string, codes_tags array<string>, ingredients_n int, ingredients string, ingredients_text string, "
     "additives_n int, additives_tags array<string>, stores_tags array<string>, purchase_places_tags array<string>, "
     "packaging_tags array<string>, image_front_url string, image_ingredients_url string, image_nutrition_url string, "
     "allergens string, allergens_tags array<string>, traces string, traces_tags array<string>, rev bigint, last_modified_t bigint"

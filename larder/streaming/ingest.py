@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import normalize, selection
 from larder.functions import ids
+from larder.operators import normalize, selection
 from larder.policy import SelectionPolicy, SourcePolicy
 from larder.sources import jsonl
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the one the cluster shares; only a session that names none uses a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+# Keyed state on local disk with changes in the checkpoint: a batch loads and writes the keys it touches.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def selected_identities(lines: DataFrame, source: SourcePolicy, policy: SelectionPolicy) -> DataFrame:
@@ -33,34 +26,26 @@ def selected_identities(lines: DataFrame, source: SourcePolicy, policy: Selectio
 
 
 def ingest(
-    spark: SparkSession, landing: str, table: str, checkpoint: str, source: SourcePolicy = SourcePolicy(), policy: SelectionPolicy = SelectionPolicy()
+    spark: SparkSession, landing: str, table: str, checkpoint: str, source: SourcePolicy = SourcePolicy(), policy: SelectionPolicy = SelectionPolicy(), files_per_batch: int = 100
 ) -> None:
     """Process all files that landed since the last run, then stop.
 
-    The table is the state. Every batch writes its own partition and replaces it when the batch is
-    retried; rows whose id an earlier batch holds are not written again, so a file delivered twice,
-    or an executor lost half-way, leaves the table as it was.
+    The ids that were seen are the stream's own keyed state: only ids of new lines are looked up, so a
+    batch costs what it brings, however many came before. Every batch writes its own partition of the
+    table and replaces it when it is retried; the table itself is never read. So a file delivered twice,
+    or an executor lost half-way, leaves the table as it was. ``checkpoint`` holds the state and must be
+    in a folder that all executors share.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        new = selected_identities(batch.withColumn("line", F.monotonically_increasing_id()), source, policy).dropDuplicates(["id"])
-        earlier = [p for p in _partitions(session, table) if p < batch_id]
-        if earlier:
-            known = session.read.parquet(*(f"{table}/batch={p}" for p in earlier)).select("id")
-            new = new.join(known, "id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    stream = spark.readStream.format("text").option("maxFilesPerTrigger", 100).load(landing)
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
-def _partitions(spark: SparkSession, table: str) -> list[int]:
-    """Batch numbers already in the table, on whichever file system holds it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = (os.path.basename(s.getPath().toString()) for s in fs.listStatus(path))
-    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("batch="))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(landing)
+        new = selected_identities(lines.withColumn("line", F.lit(0).cast("long")), source, policy).dropDuplicates(["id"])
+        query = new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

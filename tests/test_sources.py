@@ -126,6 +126,33 @@ def test_stream_is_idempotent_on_redelivery(spark, tmp_path):
     assert sorted(r.name for r in spark.read.parquet(table).collect()) == ["a", "renamed"]
 
 
+def test_a_batch_reads_no_earlier_one(spark, tmp_path):
+    import shutil
+
+    landing, table, progress = (str(tmp_path / n) for n in ("landing", "table", "progress"))
+    (tmp_path / "landing").mkdir()
+    record = lambda n, name: json.dumps({"code": n, "_id": n, "schema_version": "1004", "countries_tags": ["en:germany"], "product_name": name})
+    for delivery in range(3):
+        (tmp_path / "landing" / f"{delivery}.jsonl").write_text(record("4006381333931", "a") + "\n" + record("4006381333931", f"new {delivery}") + "\n")
+        ingest(spark, landing, table, progress)
+        got = sorted(r.name for r in spark.read.parquet(f"{table}/batch={delivery}").collect())
+        assert got == (["a"] if not delivery else []) + [f"new {delivery}"]
+        shutil.rmtree(table)  # what was written is not needed any more
+
+
+def test_positions_in_one_large_parent_spread_over_tasks(spark):
+    from larder.functions.ranking import dealt_by_ranges
+    from larder.operators.evidence import child_positions
+
+    rows = spark.range(4000).select(F.concat(F.lit("ev:retailer:sha256:"), F.sha2(F.col("id").cast("string"), 256)).alias("id"), F.lit("0001").alias("gtin"), F.lit("DE").alias("market"))
+    rows = rows.union(spark.createDataFrame([("a", "0002", "DE"), ("b", "0002", "DE")], "id string, gtin string, market string"))
+    parts = dealt_by_ranges(rows, ["gtin", "market"], ["id"]).groupBy("_part").count().collect()
+    assert len(parts) >= 4 and max(r["count"] for r in parts) < 2000
+    got = {(r.gtin, r.id): r.position for r in child_positions(rows, ["gtin", "market"]).collect()}
+    ordered = sorted(got)
+    assert [got[k] for k in ordered] == [*range(4000), 0, 1]
+
+
 def test_catalog_tables_write_partitioned_by_market(spark, tmp_path):
     i = Inputs(spark, SF)
     from larder.plans import catalog_queries  # noqa: F401
