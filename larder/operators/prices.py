@@ -23,6 +23,7 @@ PROJECTED = {
         "price_without_discount", "price_per", "receipt_quantity", "type", "created", "updated",
     ],
 }
+# The sentence that goes with every observation, and the market.
 LIMITATIONS = (
     "Dated price observation only; not current stock, nationwide availability, normal assortment, or retailer completeness."
 )
@@ -177,7 +178,11 @@ def context_ok(price: Column, currency: Column, quantity: Column) -> Column:
 def join_prices(
     prices: DataFrame, locations: Deduplicated, proofs: Deduplicated, aliases: DataFrame, retrieved_at: str
 ) -> DataFrame:
-    """Prices with their location, proof and retailer, the first failing check as ``reject``, and a digest of the whole record."""
+    """Prices with their location, proof and retailer, the first failing check as ``reject``, and a digest of the whole record.
+
+    Ids that cannot match (null or negative) meet no other row: each gets a key of its own in the joins,
+    so missing locations and proofs, however many, are spread over all tasks.
+    """
     matches = match_retailers(locations.kept, aliases)
     loc = locations.kept.join(matches, "id").select(
         F.col("id").alias("location_id"), F.lit(True).alias("has_location"), F.lit(False).alias("bad_location"),
@@ -195,8 +200,13 @@ def join_prices(
     # the whole record, so that repeats of an id which differ in any field are seen as a conflict
     payload = F.sha2(F.to_json(F.struct(*(F.col(f"`{n}`") for n in sorted(prices.columns) if n not in ("id", "line")))), 256)
     fingerprinted = prices.withColumn("price_payload", payload)
-    joined = fingerprinted.join(loc, "location_id", "left").join(prf, "proof_id", "left")
     c = F.col
+    apart = -1 - F.pmod(F.xxhash64("line"), F.lit(1 << 40))
+    key = lambda name: F.when(c(name) >= 0, c(name)).otherwise(apart)
+    loc = loc.filter("location_id >= 0").withColumnRenamed("location_id", "_location")
+    prf = prf.filter("proof_id >= 0").withColumnRenamed("proof_id", "_proof")
+    fingerprinted = fingerprinted.withColumn("_location", key("location_id")).withColumn("_proof", key("proof_id"))
+    joined = fingerprinted.join(loc, "_location", "left").join(prf, "_proof", "left").drop("_location", "_proof")
     valid_id = lambda name: F.coalesce(c(name) >= 0, F.lit(False))
     reject = (
         F.when(~valid_id("id"), "invalid-price-id")

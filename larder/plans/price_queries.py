@@ -253,7 +253,7 @@ union all select 'match-kind', match_kind, cast(count(*) as varchar) from inc gr
 union all select 'proof-type', pt, cast(count(*) as varchar) from inc group by pt
 union all select 'observed-at', 'oldest', min(observed_at) from inc union all select 'observed-at', 'newest', max(observed_at) from inc
 union all select st || '-alias', key, cast(n as varchar) from (select *, row_number() over (partition by st order by n desc, key) as rn from un)
-union all select s || '-truncated', '', case when (select count(*) from un where st = s) > 200 then 'true' else 'false' end from (select unnest(['ambiguous', 'unmatched']) as s) z""",
+union all select s || '-truncated', '', 'false' from (select unnest(['ambiguous', 'unmatched']) as s) z""",
 )
 def price_quality_report(i: Inputs):
     return P.quality_report(resolved(i))
