@@ -84,9 +84,43 @@ def sample_snapshot(i: Inputs):
     return jsonl.sample(rows, 50)
 
 
-@query("json_lint")
+view("export_json")(
+    """
+select o_orderkey as line, concat('export-', cast(o_custkey % 4 as string)) as export, o_orderkey % (case when o_custkey % 4 = 0 then 5000 else 40 end) as kind from {orders}
+"""
+)
+# Lines of known kinds: (kind, value, reason). The bounds of the query are 4,000 bytes, 1,000 characters, 300 items and 900 nodes.
+_LINT_KINDS = (
+    (1, """concat('[', cast(line as string), ']')""", "not-object"), (2, """'{"a":1,"b":{"c":2,"c":3}}'""", "duplicate-key"), (3, """'{"a":NaN}'""", "non-finite"),
+    (4, """'{"a":1e999}'""", "non-finite"), (5, """concat('{"a":', repeat('[', 40), repeat(']', 40), '}')""", "depth"), (6, """concat('{"a":"', repeat('x', 1001), '"}')""", "string-length"),
+    (7, """concat('{"a":[', repeat('1,', 300), '1]}')""", "collection-size"), (8, """concat('{"a":[', repeat('[1,1],', 298), '1]}')""", "nodes"), (9, """concat('{"a":"', repeat('y', 4000), '"}')""", "oversized"),
+    (10, """concat('{"a":', cast(line as string))""", "syntax"), (11, """concat('{"a":"', chr(92), 'u0007"}')""", "control-character"), (12, """'{"a":01}'""", "syntax"), (13, """'{} {}'""", "syntax"),
+)
+_LINT_BOUNDS = {"max_bytes": 4000, "max_string": 1000, "max_items": 300, "max_nodes": 890}
+
+
+def lint_lines(i: Inputs):
+    value = F.expr("case kind " + " ".join(f"when {kind} then {value}" for kind, value, _ in _LINT_KINDS) + """ else concat('{"a":', cast(line as string), ',"b":[true,null,"', chr(228), '"]}') end""")
+    rows = i.view("export_json").withColumn("value", value.cast("binary"))
+    # a line that is not UTF-8 has no SQL text
+    return rows.withColumn("value", F.when(F.col("kind") == 14, F.concat(F.lit(b'{"a":"'), F.lit(b"\xff"), F.lit(b'"}'))).otherwise(F.col("value")))
+
+
+_LINT_REASON = "case kind " + " ".join(f"when {kind} then '{reason}'" for kind, _, reason in _LINT_KINDS) + " when 14 then 'encoding' else '' end"
+
+
+@query("json_lint", "export_json", f"select reason, count(*) as n, min(line) as first_line from (select line, {_LINT_REASON} as reason from export_json) x group by reason")
 def json_lint(i: Inputs):
-    return jsonl.lint(i.view("json_line")).groupBy("reason").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+    return jsonl.lint(lint_lines(i), **_LINT_BOUNDS).groupBy("reason").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+
+
+@query(
+    "json_lint_rates", "export_json",
+    f"""select export, count(*) as lines, count(*) filter (where reason <> '') as malformed, count(*) filter (where reason <> '') <= 0.01 * count(*) as usable
+from (select export, {_LINT_REASON} as reason from export_json) x group by export""",
+)
+def json_lint_rates(i: Inputs):
+    return jsonl.lint_rates(jsonl.lint(lint_lines(i), **_LINT_BOUNDS), "export", 0.01)
 
 
 view("csv_line")(

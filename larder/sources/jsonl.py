@@ -7,7 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from larder.schemas import LOCALIZED_PREFIXES, RAW_PRODUCT
 
 MAX_LINE_BYTES = 4 * 1024 * 1024
 MAX_DEPTH, MAX_NODES = 32, 100_000
+MAX_STRING, MAX_ITEMS = 1_000_000, 1_000_000
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
@@ -86,8 +87,14 @@ def sample(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy("line").limit(n).withColumn("complete", F.lit(False))
 
 
-def _problem(line: str) -> str:
+def _problem(raw: bytes, max_bytes: int, max_string: int, max_items: int, max_nodes: int) -> str:
     """Why a line is not strict JSON within bounds; empty when it is."""
+    if len(raw) > max_bytes:
+        return "oversized"
+    try:
+        line = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return "encoding"
 
     def unique(pairs: list) -> dict:
         if len({k for k, _ in pairs}) < len(pairs):
@@ -110,14 +117,18 @@ def _problem(line: str) -> str:
     layer, nodes = [value], 0
     for depth in range(MAX_DEPTH + 2):
         nodes += len(layer)
-        if nodes > MAX_NODES:
+        if nodes > max_nodes:
             return "nodes"
         if layer and depth > MAX_DEPTH:
             return "depth"
         below: list = []
         for item in layer:
+            if isinstance(item, str) and len(item) > max_string:
+                return "string-length"
             if isinstance(item, str) and CONTROL.search(item):
                 return "control-character"
+            if isinstance(item, dict | list) and len(item) > max_items:
+                return "collection-size"
             if isinstance(item, float) and not math.isfinite(item):
                 return "non-finite"
             if isinstance(item, dict):
@@ -128,11 +139,26 @@ def _problem(line: str) -> str:
     return ""
 
 
-def lint(lines: DataFrame) -> DataFrame:
-    """(line, reason) per non-blank line; the reason is empty for strict JSON objects."""
+def lint(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES, max_string: int = MAX_STRING, max_items: int = MAX_ITEMS, max_nodes: int = MAX_NODES) -> DataFrame:
+    """The columns of ``lines`` but for ``value``, and ``reason``, per non-blank line; the reason is empty for strict JSON objects.
+
+    Values may be text or bytes: bytes that are no UTF-8 are found, too. A line past ``max_bytes`` is
+    named without being parsed.
+    """
+    kept = [c for c in lines.columns if c != "value"]
+    body = F.col("value").cast("string")
 
-    def audit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"line": batch.line, "reason": [_problem(v) for v in batch.value]})
+            reasons = [_problem(v.as_buffer().to_pybytes(), max_bytes, max_string, max_items, max_nodes) for v in batch.column("value")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(reasons, pa.string())], [*kept, "reason"])
+
+    types = dict(lines.dtypes)
+    rows = lines.filter(text.has_text(body)).select(*kept, F.when(F.octet_length("value") > max_bytes, F.substring(F.col("value").cast("binary"), 1, F.lit(max_bytes + 1))).otherwise(F.col("value").cast("binary")).alias("value"))
+    return rows.mapInArrow(audit, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "reason string"]))
+
 
-    return lines.filter(text.has_text(F.col("value"))).select("line", "value").mapInPandas(audit, "line bigint, reason string")
+def lint_rates(audited: DataFrame, export: str, limit: float) -> DataFrame:
+    """(export, lines, malformed, usable): whether each export's share of malformed lines stays within ``limit``."""
+    counts = audited.groupBy(F.col(export).alias("export")).agg(F.count("*").alias("lines"), F.count_if(F.col("reason") != "").alias("malformed"))
+    return counts.withColumn("usable", F.col("malformed") <= F.lit(limit) * F.col("lines"))
