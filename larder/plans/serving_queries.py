@@ -257,7 +257,7 @@ view("coverage_gate")(
     """
 select concat('retailer-', cast(n_nationkey as string)) as retailer_key, case when n_nationkey % 5 = 4 then 'fail' else 'pass' end as gate_state,
   case when n_nationkey % 3 = 2 then 'partial' else 'official-complete-snapshot' end as claim_state, n_nationkey <> 3 as reconciled, cast(100 + n_nationkey as bigint) as denominator,
-  concat('snap-', cast(n_nationkey as string)) as snapshot_id from {nation} where n_nationkey < 8
+  concat('snap-', cast(n_nationkey as string)) as snapshot_id from {nation}
 """
 )
 
