@@ -20,12 +20,11 @@ from larder.session import shared_folder
 from larder.streaming.ingest import ingest
 
 SOURCE = SourcePolicy()
-MAX_LINE = 256
 
 view("json_line")(
     """
 select p_partkey as line, case when p_partkey % 67 = 0 then 'not json' when p_partkey % 71 = 0 then '[1,2]' when p_partkey % 73 = 0 then '   '
-  when p_partkey % 79 = 0 then '{{"code":"x"}} tail' when p_partkey % 83 = 0 then repeat('x', 300) when p_partkey % 89 = 0 then '{{"code":"open"'
+  when p_partkey % 79 = 0 then '{{"code":"x"}} tail' when p_partkey = 83 then repeat('x', 4194305) when p_partkey % 83 = 0 then repeat('x', 300) when p_partkey % 89 = 0 then '{{"code":"open"'
   when p_partkey % 97 = 0 then '{{"code":"a","code":"b"}}' when p_partkey % 101 = 0 then '{{"n":NaN}}'
   else concat('{{"code":"', lpad(cast(p_partkey as string), 14, '0'), '","product_name":"', p_name, '","product_name_de":"', p_brand, '"',
     case when p_partkey % 41 = 7 then ',"schema_version":"1003"' when p_partkey % 43 = 9 then '' else ',"schema_version":"1004"' end,
@@ -34,7 +33,7 @@ from {part}
 """
 )
 _OUTCOME = """
-o as (select line, value, case when octet_length(encode(value)) > 256 then 'oversized' when trim(value) = '' then 'blank'
+o as (select line, value, case when octet_length(encode(value)) > 4194304 then 'oversized' when trim(value) = '' then 'blank'
    when value like '{"n":NaN}' or value like '{"code":"a","code":"b"}' or (json_valid(value) and json_type(case when json_valid(value) then value end) = 'OBJECT') then 'accepted' else 'malformed' end as outcome from json_line),
 j as (select line, value, json_extract_string(v, '$.code') as code, json_extract_string(v, '$.product_name') as product_name, json_extract_string(v, '$.schema_version') as schema_version,
    coalesce(json_extract_string(v, '$.countries_tags[0]'), '') as country from (select line, value, case when json_valid(value) then value else '{}' end as v from o where outcome = 'accepted') x)"""
@@ -42,7 +41,7 @@ j as (select line, value, json_extract_string(v, '$.code') as code, json_extract
 
 def scanned(i: Inputs):
     lines = i.view("json_line")
-    return lines.withColumn("outcome", jsonl.line_outcome(F.col("value"), MAX_LINE))
+    return lines.withColumn("outcome", jsonl.line_outcome(F.col("value")))
 
 
 def typed(i: Inputs):

@@ -131,7 +131,7 @@ def test_near_duplicates_equal_brute_force(make):
     for i, a in enumerate(names):
         for b in names[:i]:
             longer = max(len(words[a]), len(words[b]))
-            if min(len(words[a]), len(words[b])) and near_dedup.edit_distance(words[a], words[b], int(0.2 * longer + 1e-9), POWERS) is not None:
+            if min(len(words[a]), len(words[b])) and near_dedup.edit_distance(words[a], words[b], int((1 - near_dedup.SIMILAR) * longer + 1e-9), POWERS) is not None:
                 parent[find(a)] = find(b)
     members = {}
     for t, ids in texts.items():
@@ -142,5 +142,30 @@ def test_near_duplicates_equal_brute_force(make):
     assert rows(got.filter("kept"), "doc_id") == sorted(((c,) for c in {w[1] for w in want}), key=repr)
 
 
+def test_pairs_at_every_similarity_are_found(make):
+    """Recall by band over pairs of 100 words that differ in up to a tenth of them."""
+    rng = random.Random(11)
+    docs = []
+    for pair in range(240):
+        words = [f"p{pair}w{i}" for i in range(100)]
+        other = list(words)
+        for i in rng.sample(range(100), 1 + pair % 10):
+            other[i] = f"q{pair}x{i}"
+        docs += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(make(*docs)).collect()}
+    found = np.array([classes[2 * p] == classes[2 * p + 1] for p in range(240)])
+    bands = [found[b::10].mean() for b in range(10)]
+    assert min(bands[:8]) >= 0.95 and min(bands) >= 0.85 and found.mean() >= 0.97, bands
+
+
+def test_texts_that_share_half_a_passage_part(make):
+    rng = random.Random(12)
+    passage = [f"c{i}" for i in range(60)]
+    docs = [(i, " ".join(passage + [f"own{i}x{j}" if rng.random() < 0.3 else f"w{rng.randrange(300)}" for j in range(50)])) for i in range(300)]
+    docs += [(1000 + i, docs[i][1] + " tail") for i in range(0, 300, 10)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(make(*docs)).collect()}
+    assert all(got[i] == i for i in range(300)) and all(got[1000 + i] == i for i in range(0, 300, 10))
+
+
 def test_near_duplicates_of_nothing(make):
     assert near_dedup.near_duplicates(make()).count() == 0

@@ -32,6 +32,13 @@ def test_line_outcomes(spark):
     assert [r.o for r in df.collect()] == ["accepted"] + ["malformed"] * 5 + ["blank", "accepted", "oversized", "malformed"]
 
 
+def test_lines_past_the_contract_are_oversized(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a":1}\n' + "x" * (4 * 1024 * 1024 + 1) + '\n{"a":"' + "y" * (4 * 1024 * 1024 - 8) + '"}\n')
+    lines = jsonl.read_lines(spark, str(tmp_path))
+    assert {r.line: r.o for r in lines.select("line", jsonl.line_outcome(F.col("value")).alias("o")).collect()} == {0: "accepted", 1: "oversized", 2: "accepted"}
+    assert [r.reason for r in jsonl.lint(lines.select("line", "value")).orderBy("line").collect()] == ["", "oversized", "string-length"]
+
+
 def test_lint_names_the_reason(spark):
     deep = "[" * 40 + "]" * 40
     cases = {'{"a":1}': "", '{"a":1,"a":2}': "duplicate-key", '{"a":NaN}': "non-finite", "[1]": "not-object", "{": "syntax",
