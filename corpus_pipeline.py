@@ -1,8 +1,8 @@
 """Corpus pipeline: documents in, a mixed and sharded training set out, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read back
-as the next stage's documents. All stages but the last return the columns of their input. A column of
-``documents`` that a table lacks counts as null. Columns named like those of an operator do no harm:
+as the next stage's documents. All stages but the last return the columns of their input. ``documents``
+has doc_id, text and source; lang and n_chars are used where they are there. Columns named like those of an operator do no harm:
 a stage carries the input row as one struct beside the operator's own columns.
 """
 

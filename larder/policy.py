@@ -70,6 +70,7 @@ class BasicRule:
 
 @dataclass(frozen=True)
 class SelectionPolicy:
+    # Version, names of signals, kinds and rules.
     version: str = "1.0.0"
     market: str = "DE"
     product_types: tuple[str, ...] = ("food",)
@@ -93,6 +94,7 @@ class SelectionPolicy:
 
 @dataclass(frozen=True)
 class SourcePolicy:
+    # Schema version, hosts and the bound on malformed lines.
     schema_version: str = "1004"
     image_hosts: tuple[str, ...] = ("images.openfoodfacts.org", "world.openfoodfacts.org")
     source_key: str = "open-food-facts"
@@ -101,6 +103,7 @@ class SourcePolicy:
 
 @dataclass(frozen=True)
 class QualityPolicy:
+    # Months of the clocks, trust of sources, bounds of the gates.
     formulation: Clock = Clock(9, 12)
     retailer: Clock = Clock(1, 3)
     certification: Clock = Clock(3, 6)
