@@ -17,8 +17,8 @@ from larder.llm.words import SPACED, WORD_BASE, Powers, Texts, mix, ramp, slices
 
 WORDS = 5  # in a k-mer
 MINIMA = 3  # k-mers of a sketch entry
-ENTRIES = 24
-SIMILAR = 0.8
+ENTRIES = 40
+SIMILAR = 0.9  # at this edit similarity two texts share an entry with a chance of 0.95, above it with more
 PAIRS, CELLS = 512, 1_000_000  # pairs, and cells of their bands, that a task aligns at once
 SIGNATURE, NEIGHBOURS = 1024, 2048  # bits that tell which words a text has, and which pairs of neighbouring words
 _SPARE = 8  # looks at about so many times MINIMA k-mers for each entry, and at all where these don't do
@@ -236,6 +236,31 @@ def _in_reach(similar: float, a: str, b: str) -> Column:
     return reach
 
 
+def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow task: the words of each text as hashes, told apart by occurrence."""
+    by_word = Powers(WORD_BASE)
+    for batch in batches:
+        nodes = batch.column("node")
+        for t in slices(batch.column("text"), SPACED, lower=True):
+            labelled, bounds = _labelled(t, t.hashes(), 1, by_word)
+            tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(labelled.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([nodes.slice(t.row, t.rows), tokens], ["node", "tokens"])
+
+
+def rare_words(texts: DataFrame, similar: float) -> DataFrame:
+    """(token, node): of each text its rarest words, one more than a link may leave unshared.
+
+    Words are ordered by the texts that have them. Of two linked texts neither has more than
+    ``1 - similar`` of its words alone, so their lists share a word (the prefix filter of set-similarity
+    joins). Words of one text alone fill its list but are not returned.
+    """
+    words = stored(texts.mapInArrow(_tokens, "node long, tokens array<long>").select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
+    spread = words.groupBy("token").agg(F.count("*").alias("texts"))
+    order = F.sort_array(F.collect_list(F.struct("texts", "token")))
+    rarest = words.join(spread, "token").groupBy("node").agg(F.slice(order, F.lit(1), F.floor((1 - similar) * F.first("n") + 1e-9).cast("int") + 1).alias("rarest"))
+    return rarest.select("node", F.explode("rarest").alias("r")).filter("r.texts > 1").select("r.token", "node")
+
+
 def _present(bits: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,11 +280,14 @@ def near_duplicates(
     candidates. Two candidates are linked if their edit similarity in words is ``similar`` or more;
     classes are the connected components of the links.
 
-    No bucket makes all its pairs. First each node is aligned with the least node of each of its
-    buckets. Pairs inside one component could add no class; so in buckets that then still hold several
-    components, the members outside the largest one are aligned with the members of the others. Before
-    any alignment a pair is dropped if the lengths, or the words that one of the texts alone has, need
-    more edits than a link allows. So every candidate pair that could change a class is decided.
+    No bucket makes all its pairs. First each node is aligned with one of the least nodes of its buckets,
+    that which shares most entries with it, then with the others that are still in another component:
+    pairs inside one component could add no class. Buckets that then still hold several
+    components are refined: their nodes meet again by their rarest words (``rare_words``), of which any
+    two that can be linked share one, so texts that only have a common passage part. There the nodes
+    outside the largest component of a bucket are aligned with those of other components. Before any
+    alignment a pair is dropped if the lengths, or the words that one of the texts alone has, need more
+    edits than a link allows. So every candidate pair that could change a class is decided.
 
     A null or empty text has no words and no near duplicate, only equal texts (null: empty). A text of
     one to ``k`` - 1 words is one k-mer. Of a class the row with the smallest doc_id stays (null last),
@@ -275,18 +303,15 @@ def near_duplicates(
 
     buckets = nodes.select("node", "n_words", F.explode("sketch").alias("bucket"))
     leads = stored(buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("z")).filter("lead < z").select("bucket", "lead"))
-    members = stored(buckets.join(leads, "bucket"))
+    members = stored(buckets.join(leads, "bucket"))  # bucket, node, n_words, lead
     in_question = members.select("node").distinct().join(nodes.select("node", "text_key", "first"), "node")
     in_question = stored(in_question.withColumn("probe", F.xxhash64("text_key")))
     probed = rows.select(F.col("ident.doc_id").alias("doc_id"), "text", "text_key", F.xxhash64("text_key").alias("probe"))
     probed = probed.mapInArrow(_present(key_filter(in_question, "probe")), "doc_id long, text string, text_key string, probe long")
     texts = stored(probed.join(in_question.select("node", "text_key", "first"), "text_key").filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("node", "text"))
 
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def linked(pairs: DataFrame) -> DataFrame:
-        # few bytes and much work: as many tasks as any shuffle has
-        with_a = pairs.repartition(tasks, "a").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_align(similar), "a long, b long"))
 
@@ -296,19 +321,39 @@ def near_duplicates(
     of = nodes.join(in_question.select("node"), "node", "left_semi").select("node", "n_words", "words")
     side = lambda table, s, *more: table.select(F.col("node").alias(s), F.col("n_words").alias(f"n_{s}"), F.col("words").alias(f"words_{s}"), *more)
 
-    to_lead = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    to_lead = to_lead.join(side(of, "a"), "a").join(side(of, "b"), "b").filter(_in_reach(similar, "a", "b"))
-    tried = stored(to_lead.select("a", "b"))
+    def in_reach(pairs: DataFrame) -> DataFrame:
+        """The pairs (lead, b, n) that can be linked. Lengths first: the signatures of most pairs that share a passage alone need not be joined."""
+        alike = F.least("n", "n_a") >= similar * F.greatest("n", "n_a") - 1e-9
+        near = pairs.join(side(of, "a"), (F.col("lead") == F.col("a")) & alike).drop("lead", "n")
+        near = near.join(side(of, "b").withColumnRenamed("b", "other"), (F.col("b") == F.col("other")) & _in_reach(similar, "a", "b"))
+        return stored(near.select("a", "b"))
+
+    to_lead = members.filter("node <> lead").groupBy("lead", F.col("node").alias("b"), F.col("n_words").alias("n")).agg(F.count("*").alias("shared"))
+    to_lead = stored(to_lead)
+    # first with the lead that shares most entries: most members of a class are then done
+    nearest = to_lead.groupBy("b", "n").agg(F.max(F.struct(F.col("shared"), (-F.col("lead")).alias("lead"))).alias("m")).select((-F.col("m.lead")).alias("lead"), "b", "n")
+    tried = in_reach(nearest)
     links = linked(tried)
     component = components(links)
 
+    of_b = labelled(to_lead.select("lead", "n", F.col("b").alias("node")), component).withColumnsRenamed({"node": "b", "component": "of_b"})
+    apart = labelled(of_b.withColumnRenamed("lead", "node"), component).filter("component <> of_b").select(F.col("node").alias("lead"), "b", "n")
+    more = stored(in_reach(apart).join(tried, ["a", "b"], "left_anti"))
+    links = stored(links.union(linked(more)))
+    tried = tried.union(more)
+    component = components(links)
+
     placed = stored(labelled(members.select("bucket", "node"), component))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("z")).filter("x < z").select("bucket")
-    mixed = stored(placed.join(split, "bucket").join(of, "node"))
+    # a bucket of two has no further pair
+    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("z"), F.count("*").alias("n")).filter("x < z and n > 2").select("bucket")
+    mixed = stored(placed.join(split, "bucket"))
     main = mixed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main")).select("bucket", F.col("main.component").alias("main"))
-    outside = stored(side(mixed.join(main, "bucket").filter("component <> main"), "a", "bucket", F.col("component").alias("of_a")))
-    others = side(mixed, "b", F.col("bucket").alias("in"), F.col("component").alias("of_b"))
-    across = outside.repartition(tasks, "bucket", "a").join(others, (F.col("bucket") == F.col("in")) & (F.col("of_a") != F.col("of_b")) & _in_reach(similar, "a", "b"))
+    crowd = mixed.join(main, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
+    crowd = stored(crowd.join(of, "node"))
+    rare = stored(rare_words(texts.join(crowd.select("node"), "node", "left_semi"), similar).join(crowd, "node"))
+    outside = side(rare.filter("outside"), "a", "token", F.col("component").alias("of_a"))
+    others = side(rare, "b", F.col("token").alias("in"), F.col("component").alias("of_b"))
+    across = outside.join(others, (F.col("token") == F.col("in")) & (F.col("of_a") != F.col("of_b")) & _in_reach(similar, "a", "b"))
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.union(linked(across.join(tried, ["a", "b"], "left_anti")))
     component = components(links)

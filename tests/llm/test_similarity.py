@@ -54,6 +54,16 @@ def test_substrings_equal_brute_force(make, case):
     assert rows(dedup_substrings(make(*docs), length), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(docs, length)
 
 
+def test_words_that_a_polynomial_cannot_tell_apart_differ(make):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{i}" for i in range(49))
+    got = rows(dedup_substrings(make((1, f"{shared} {word}"), (2, f"{shared} {other}"), (3, f"x {shared} {other}"), (4, "long " * 200_000))), "doc_id", "n_removed")
+    assert got == [(1, 0), (2, 0), (3, 50), (4, 0)]
+
+
 def test_kept_text_is_the_words_left(make):
     got = {r.doc_id: r.kept_text for r in dedup_substrings(make((1, "a b c d"), (2, "x a b c d y"), (3, "q")), 4).collect()}
     assert got == {1: None, 2: "x y", 3: None}
