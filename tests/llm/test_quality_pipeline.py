@@ -1,10 +1,14 @@
+import math
 import random
+import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
+from conftest_llm import LOWER
 from larder.llm import quality
 
 SF = "/root/testdata/sf0.01"
@@ -32,6 +36,65 @@ def test_held_out_labels(spark):
     assert clean.accepted.mean() > 0.95
 
 
+def plain_votes(text, given):
+    """The votes of one document, counted word by word."""
+    spaced = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    plain = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    is_mark = lambda c: "!" <= c <= "~" and not c.isalnum()
+    marks = [sum(map(is_mark, w)) for w in spaced]
+    size = [len(w.encode()) for w in spaced]
+    letters = sum(c.isascii() and c.isalpha() for w in spaced for c in w)
+    n = max(len(spaced), 1)
+    shares = {
+        "symbols": sum(marks) / max(sum(size), 1), "capitals": sum(c.isascii() and c.isupper() for w in spaced for c in w) / max(letters, 1),
+        "echo": sum(a == b for a, b in zip(spaced, spaced[1:])) / n, "bare": sum(m == s for m, s in zip(marks, size)) / n, "marks": sum(m >= 2 for m in marks) / n,
+    }
+    votes = {f"quality_{h.name}": 0 if shares[h.name] >= h.bad else -1 for h in quality.HEURISTICS}
+    votes["quality_prose"] = 1 if spaced and all(shares[h.name] < h.good for h in quality.HEURISTICS) else -1
+    votes["quality_given"], votes["toxic_given"] = given
+    insult, address, threat = ([w in words for w in plain] for words in (quality.INSULTS, quality.ADDRESSES, quality.THREATS))
+    beside = lambda i: any(address[max(0, i - quality.NEAR) : i]) or any(address[i + 1 : i + 1 + quality.NEAR])
+    insults, threats = sum(insult), sum(threat)
+    judged = lambda there, wrong: (1 if wrong else 0) if there else -1
+    votes["toxic_insults"] = 1 if insults >= 2 else 0 if not insults and spaced else -1
+    votes["toxic_different"] = judged(insults, len({w for w, i in zip(plain, insult) if i}) >= 2)
+    votes["toxic_dense"] = judged(insults, insults >= 0.005 * max(len(spaced), 100))
+    votes["toxic_addressed"] = judged(insults, any(i and beside(at) for at, i in enumerate(insult)))
+    votes["toxic_threats"] = judged(threats, any(t and beside(at) for at, t in enumerate(threat)))
+    return votes
+
+
+def plain_em(votes, counts, given):
+    """Expectation-maximisation with loops, silence left out."""
+    posterior = [(sum(v == 1 for v in row) + 0.5) / (sum(v >= 0 for v in row) + 1) for row in votes]
+    for _ in range(quality.EM_ROUNDS):
+        share = (sum(p * c for p, c in zip(posterior, counts)) + 1) / (sum(counts) + 2)
+        table = []
+        for j in range(len(votes[0])):
+            says = [[0.1 + sum(c * (p if label else 1 - p) for row, p, c in zip(votes, posterior, counts) if row[j] == vote) for vote in (0, 1)] + [0.1] for label in (0, 1)]
+            says = [[x / sum(row) for x in row] for row in says]
+            table.append([[quality.GIVEN_RIGHT, 1 - quality.GIVEN_RIGHT], [1 - quality.GIVEN_RIGHT, quality.GIVEN_RIGHT]] if j == given else says)
+        odds = [math.log(share / (1 - share)) + sum(math.log(table[j][1][v] / table[j][0][v]) for j, v in enumerate(row) if v >= 0) for row in votes]
+        posterior = [1 / (1 + math.exp(-x)) for x in odds]
+    return share, posterior
+
+
+def test_votes_and_their_posteriors_equal_plain_python(make, labels):
+    rng = random.Random(9)
+    words = ["the", "House", "stands!!", "near", "##", "Idiot", "you", "stupid", "kill", "du", "dumm", "é", "a.b", "THE", "the"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for i in range(120)] + [(500, None), (501, ""), (502, "you " * 5000 + "loser")]
+    given = [(i, rng.choice([0, 1]), rng.choice([0, 1])) for i in range(0, 120, 3)]
+    by_id = {i: (q, t) for i, q, t in given}
+    votes, found, names = quality.weak_labels(make(*docs), labels(*given))
+    got = {r.doc_id: r.asDict() for r in votes.collect()}
+    want = {d: plain_votes(t, by_id.get(d, (-1, -1))) for d, t in docs}
+    assert all({c: got[d][c] for c in want[d]} == want[d] for d in want)
+    patterns = Counter(tuple(want[d][c] for c in names["toxic"]) for d in want)
+    share, posterior = plain_em(list(patterns), list(patterns.values()), names["toxic"].index("toxic_given"))
+    state = found["toxic"].all
+    assert abs(state.share - share) < 1e-6 and np.abs(state.posterior(np.array(list(patterns))) - posterior).max() < 1e-6
+
+
 def prose(rng, n):
     return " ".join(rng.choice(["the", "house", "stands", "near", "a", "river", "and", "people", "walk", "there"]) for _ in range(n)) + "."
 
@@ -119,5 +182,5 @@ def test_every_operator_has_its_query():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)) and "pipeline" in names
     assert Path(corpus_pipeline.__file__).parent == Path(entry.__file__).parent
