@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.store import key_filter, may_hold, stored
-from larder.llm.words import Texts, mix, slices
+from larder.llm.words import Texts, mix, ramp, slices
 
 LONGEST = 5  # words of a phrase
 LEAST = 100  # occurrences of a candidate
 TOP = 2000  # phrases reported for each language
 BURST = 4096  # entries of a container before it becomes a node
 ENTRIES = 400_000  # entries of a trie before it spills
+PLACE_BITS = 40  # pairs of words are first counted at so many places, so that few pairs share one at any size
+PAIRS = 4_000_000  # places that a task holds before it hands them on
 ROWS = 20_000  # rows of a run that are handed on at once
 
 _BYTES = np.arange(256)
 _BREAK = np.isin(_BYTES, [*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D])  # ends a piece
 IN_PIECE = ~(_BREAK | (_BYTES == 0x20) | (_BYTES == 0x09))
-_RUN = "lang string, prefix long, phrase binary, f long"
+_RUN = "lang string, part int, keys binary, counts binary"
 
 
 class HatTrie:
@@ -115,6 +117,10 @@ class Pieces(NamedTuple):
             key[:-k] = mix(key[:-k] * np.uint64(0x9E3779B97F4A7C15) + self.ids[k:])
         return key[: len(key) - n + 1] if len(key) >= n else key[:0]
 
+    def places(self, salts: np.ndarray) -> np.ndarray:
+        """The place of the pair of words from each place on."""
+        return self.grams(salts, 2) >> np.uint64(64 - PLACE_BITS)
+
 
 class Languages:
     """Codes of the languages of a task, in order of appearance."""
@@ -140,64 +146,157 @@ def salt(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
 
-def _word_counts(seed: int):
-    """Arrow task: occurrences of each word, spilled as sorted runs of the words with their ids."""
+class _Words:
+    """Counts of the words of a task: arrays of each slice, merged when they have grown."""
+
+    def __init__(self):
+        self.parts: list[pa.Table] = []
+        self.rows = 0
+
+    def add(self, t: Texts, lang: np.ndarray, ids: np.ndarray, checks: np.ndarray) -> None:
+        """Count the words of a slice. Two hashes stand for a word here; Spark then groups by the word itself."""
+        order = np.argsort(ids ^ mix(lang.astype(np.uint64)), kind="stable")
+        one, two, of = ids[order], checks[order], lang[order]
+        edge = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (of[1:] != of[:-1])))
+        sample = order[edge]
+        sizes = t.ends[sample] - t.starts[sample]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        spelled = pa.StringArray.from_buffers(len(sample), pa.py_buffer(offsets), pa.py_buffer(t.data[ramp(t.starts[sample], sizes)]))
+        self.parts.append(pa.table({"lang": lang[sample], "word": spelled, "id": ids[sample].view(np.int64), "f": np.diff(np.append(edge, len(order)))}))
+        self.rows += len(sample)
+
+    def merged(self) -> pa.Table:
+        """One row for each word; starts anew."""
+        table = pa.concat_tables(self.parts).group_by(["lang", "word", "id"]).aggregate([("f", "sum")]).rename_columns(["lang", "word", "id", "f"])
+        self.parts, self.rows = [table], len(table)
+        return table
+
+
+class _Places:
+    """Hits of places: sorted arrays of each slice, merged when they have grown."""
+
+    def __init__(self, kind: type):
+        self.kind, self.most = kind, np.iinfo(kind).max
+        self.places: list[np.ndarray] = []
+        self.hits: list[np.ndarray] = []
+        self.rows = 0
+
+    def add(self, places: np.ndarray) -> None:
+        at, n = np.unique(places, return_counts=True)
+        self.places.append(at)
+        self.hits.append(np.minimum(n, self.most).astype(self.kind))
+        self.rows += len(at)
+
+    def merge(self) -> None:
+        places, hits = np.concatenate(self.places), np.concatenate(self.hits)
+        order = np.argsort(places, kind="stable")
+        places, hits = places[order], hits[order]
+        edge = np.flatnonzero(np.append(True, places[1:] != places[:-1])[: len(places)])
+        self.places = [places[edge]]
+        self.hits = [np.minimum(np.add.reduceat(hits.astype(np.int64), edge) if len(edge) else hits, self.most).astype(self.kind)]
+        self.rows = len(edge)
+
+    def parts(self, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(part, steps, hits): the places of a part as steps from one to the next, all lowest bytes first, so that they compress."""
+        self.merge()
+        places, hits = self.places[0], self.hits[0]
+        number = (places >> np.uint64(PLACE_BITS - bits)).astype(np.int64)
+        edge = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+        inside = places & np.uint64((1 << (PLACE_BITS - bits)) - 1)
+        step = inside.copy()
+        step[1:] -= inside[:-1]
+        step[edge] = inside[edge]
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(places)]):
+            yield int(number[a]), np.ascontiguousarray(step[a:b, None].view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes(), hits[a:b].tobytes()
+
+
+def _unpacked(steps: bytes) -> np.ndarray:
+    """Places inside a part from their packed steps."""
+    planes = np.frombuffer(steps, np.uint8).reshape(5, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :5] = planes.T
+    return np.cumsum(out.view(np.uint64).ravel())
+
+
+def _first_pass(seed: int, least: int, entries: int, bits: int):
+    """Arrow task: occurrences of each word, and how often each place is hit by pairs of words.
+
+    A place is hit by all pairs whose hashes lead there; one hit less than ``least`` times over all tasks
+    holds no frequent pair. Hits stop at the limit of their type, which is ``least`` or more.
+    """
+    kind = np.uint8 if least <= 255 else np.uint32
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("id", pa.int64()), ("f", pa.int64()), ("part", pa.int32()), ("steps", pa.binary()), ("hits", pa.binary())])
+
+    def words_of(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
+        lang = pa.array(names, pa.string()).take(table.column("lang").combine_chunks())
+        none = [pa.nulls(len(table), field.type) for field in list(schema)[4:]]
+        yield from pa.table([lang, table.column("word"), table.column("id"), table.column("f"), *none], schema=schema).to_batches(max_chunksize=ROWS)
 
-    def rows(lang: str, run: Iterator[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
-        part = list(run)
-        for at in range(0, len(part), ROWS):
-            words, counts = zip(*part[at : at + ROWS])
-            text = pa.array(words, pa.binary()).cast(pa.string())
-            ids = np.concatenate([t.hashes(seed) for t in slices(text, IN_PIECE, lower=False)])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), text, pa.array(ids.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "word", "id", "f"])
+    def places_of(places: _Places) -> Iterator[pa.RecordBatch]:
+        rows = list(places.parts(bits)) if places.rows else []
+        for at in range(0, len(rows), ROWS):
+            columns = [pa.array(column, field.type) for column, field in zip(zip(*rows[at : at + ROWS]), list(schema)[4:])]
+            none = [pa.nulls(len(columns[0]), field.type) for field in list(schema)[:4]]
+            yield pa.RecordBatch.from_arrays([*none, *columns], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, tries = Languages(), {}
+        languages, words, places = Languages(), _Words(), _Places(kind)
         for batch in batches:
             codes = languages.codes(batch.column("lang"))
+            salts = languages.salts()
             for t in slices(batch.column("text"), IN_PIECE, lower=True):
                 if not len(t.starts):
                     continue
-                lang = codes[t.row : t.row + t.rows][np.repeat(np.arange(t.rows), np.diff(t.first))]
-                for code in np.unique(lang).tolist():
-                    mine = np.flatnonzero(lang == code)
-                    counts = tries.setdefault(code, Counter())
-                    # equal hashes of two kinds stand for equal words here; the container compares the words themselves
-                    one, two = t.hashes(seed)[mine], t.hashes(seed + 1)[mine]
-                    order = np.argsort(one, kind="stable")
-                    one, two = one[order], two[order]
-                    edge = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-                    sample = mine[order[edge]]
-                    size = np.diff(np.append(edge, len(order)))
-                    for a, b, n in zip(t.starts[sample].tolist(), t.ends[sample].tolist(), size.tolist()):
-                        counts[t.data[a:b].tobytes()] += n
-                while sum(map(len, tries.values())) > ENTRIES:
-                    code = max(tries, key=lambda c: len(tries[c]))
-                    yield from rows(languages.names[code], iter(sorted(tries.pop(code).items())))
-        for code, counts in tries.items():
-            yield from rows(languages.names[code], iter(sorted(counts.items())))
+                p = Pieces.of(t, codes, seed)
+                words.add(t, p.lang, p.ids, t.hashes(seed + 1))
+                if words.rows > entries and len(words.merged()) > entries // 2:
+                    yield from words_of(words.merged(), languages.names)
+                    words = _Words()
+                places.add(p.places(salts)[p.piece[:-1] == p.piece[1:]])
+                if places.rows > PAIRS:
+                    places.merge()
+                    if places.rows > PAIRS // 2:
+                        yield from places_of(places)
+                        places = _Places(kind)
+        if words.rows:
+            yield from words_of(words.merged(), languages.names)
+        yield from places_of(places)
 
     return run
 
 
-def _gram_counts(n: int, seed: int, bits: np.ndarray, entries: int, burst: int):
-    """Arrow task: occurrences of runs of n words both of whose parts of n - 1 words ``bits`` may hold, as sorted runs."""
+def _busy(least: int, bits: int):
+    """Group function: the places of a part that all tasks together hit ``least`` times or more."""
+    kind = np.uint8 if least <= 255 else np.uint32
 
-    def batch_of(lang: str, part: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        keys, counts = zip(*part)
-        ids = np.frombuffer(b"".join(keys), np.uint64).reshape(len(keys), n)
-        prefix = mix(ids[:, 0] * np.uint64(3) ^ ids[:, 1])
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(prefix.view(np.int64)), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["lang", "prefix", "phrase", "f"])
+    def run(table: pa.Table) -> pa.Table:
+        places = np.concatenate([_unpacked(x.as_buffer()) for x in table.column("steps")])
+        hits = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("hits")])
+        order = np.argsort(places, kind="stable")
+        places, hits = places[order], hits[order].astype(np.int64)
+        edge = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+        found = places[edge][np.add.reduceat(hits, edge) >= least]
+        return pa.table({"place": pa.array((found + np.uint64(table.column("part")[0].as_py() << (PLACE_BITS - bits))).astype(np.int64))})
+
+    return run
+
+
+def _gram_counts(n: int, seed: int, bits: np.ndarray, busy: np.ndarray, entries: int, burst: int, part_bits: int):
+    """Arrow task: occurrences of runs of n words both of whose parts of n - 1 words ``bits`` may hold, pairs only at ``busy`` places, as sorted runs."""
 
     def spilled(lang: str, trie: HatTrie, down_to: int) -> Iterator[pa.RecordBatch]:
-        part: list[tuple[bytes, int]] = []
-        for entry in trie.spill(down_to):
-            part.append(entry)
-            if len(part) == ROWS:
-                yield batch_of(lang, part)
-                part = []
-        if part:
-            yield batch_of(lang, part)
+        """The subtrees that go, as one sorted run for each prefix partition."""
+        keys, counts = zip(*trie.spill(down_to))
+        ids = np.frombuffer(b"".join(keys), np.uint64).reshape(len(keys), n)
+        part = (mix(ids[:, 0] * np.uint64(3) ^ ids[:, 1]) >> np.uint64(64 - part_bits)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])).tolist()
+        ids, many = ids[order], np.array(counts, np.int64)[order]
+        spans = list(zip(edge, [*edge[1:], len(order)]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(edge)), pa.array(part[order][edge]), pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([many[a:b].tobytes() for a, b in spans], pa.binary())],
+            ["lang", "part", "keys", "counts"],
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, tries = Languages(), {}
@@ -210,6 +309,8 @@ def _gram_counts(n: int, seed: int, bits: np.ndarray, entries: int, burst: int):
                 p = Pieces.of(t, codes, seed)
                 known = may_hold(bits, p.grams(salts, n - 1).view(np.int64))
                 at = np.flatnonzero(known[:-1] & known[1:] & (p.piece[: len(p.piece) - n + 1] == p.piece[n - 1 :]))
+                if n == 2:
+                    at = at[may_hold(busy, p.places(salts)[at].view(np.int64))]
                 for code in np.unique(p.lang[at]).tolist():
                     mine = at[p.lang[at] == code] if len(languages.names) > 1 else at
                     mine = mine[np.argsort(p.ids[mine], kind="stable")]
@@ -226,7 +327,25 @@ def _gram_counts(n: int, seed: int, bits: np.ndarray, entries: int, burst: int):
                     code = max(tries, key=lambda c: len(tries[c]))
                     yield from spilled(languages.names[code], tries[code], len(tries[code]) // 2)
         for code, trie in tries.items():
-            yield from spilled(languages.names[code], trie, -1)
+            if len(trie):
+                yield from spilled(languages.names[code], trie, -1)
+
+    return run
+
+
+def _merge(n: int, least: int):
+    """Group function: the runs of a prefix partition merged, phrases that occur ``least`` times or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, n) for x in table.column("keys")])
+        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")])
+        order = np.lexsort(ids.T[::-1])
+        ids, counts = ids[order], counts[order]
+        edge = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(1)))
+        total = np.add.reduceat(counts, edge)
+        found = total >= least
+        phrases = [row.tobytes() for row in ids[edge[found]]]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.binary()), "f": pa.array(total[found])})
 
     return run
 
@@ -255,15 +374,26 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("word"), pa.array(ids.view("V8").tolist(), pa.binary()), batch.column("f")], ["lang", "word", "phrase", "f"])
 
 
-def count_words(rows: DataFrame, least: int, seed: int = 0) -> tuple[DataFrame, int]:
-    """(lang, word, id, f over all texts; the seed of the ids). Two words never share an id if one of them is frequent: another seed is tried until that holds."""
+def _part_bits(rows: DataFrame) -> int:
+    """Parts (as a power of two) that are small on the cluster at hand: some for each of its shuffle partitions."""
+    return min(24, (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+
+
+def count_words(rows: DataFrame, least: int, entries: int = ENTRIES, seed: int = 0) -> tuple[DataFrame, np.ndarray, int]:
+    """(lang, word, id, f over all texts; a filter of the places that many pairs hit; the seed of the ids).
+
+    Two words never share an id if one of them is frequent: another seed is tried until that holds.
+    """
+    bits = _part_bits(rows)
     while True:
-        runs = rows.mapInArrow(_word_counts(seed), "lang string, word string, id long, f long")
-        words = stored(runs.groupBy("lang", "word").agg(F.sum("f").alias("f"), F.min("id").alias("id")))
+        runs = stored(rows.mapInArrow(_first_pass(seed, least, entries, bits), "lang string, word string, id long, f long, part int, steps binary, hits binary"))
+        words = stored(runs.filter("part is null").groupBy("lang", "word").agg(F.sum("f").alias("f"), F.min("id").alias("id")))
         shared = words.groupBy("id").agg(F.min("word").alias("a"), F.max("word").alias("z"), F.max("f").alias("f"))
         if shared.filter((F.col("a") < F.col("z")) & (F.col("f") >= least)).isEmpty():
-            return words, seed
+            break
         seed += 2
+    busy = runs.filter("part is not null").select("part", "steps", "hits").groupBy("part").applyInArrow(_busy(least, bits), "place long")
+    return words, key_filter(busy, "place"), seed
 
 
 def frequent_phrases(rows: DataFrame, longest: int = LONGEST, least: int = LEAST, entries: int = ENTRIES, burst: int = BURST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -271,19 +401,21 @@ def frequent_phrases(rows: DataFrame, longest: int = LONGEST, least: int = LEAST
 
     A phrase is frequent only if both its parts of one word less are. So each length is counted in a pass
     of its own over all texts, in which a task leaves out what the frequent parts of the pass before rule
-    out (a bitmap of fixed size; what it lets through wrongly is counted like the rest). Counts are exact.
-    Tries that grow too large spill whole subtrees as sorted runs. Runs meet by their prefix of two words,
-    where Spark merges them; a busy word is so dealt over the words that follow it.
+    out, and pairs at places that pairs hit too seldom. Both are bitmaps of fixed size that let some
+    through wrongly, the more the more frequent phrases there are; these are counted like the rest.
+    Counts are exact.
+    Tries that grow too large spill whole subtrees as sorted runs, one for each partition of prefixes of two
+    words, where all runs are merged; a busy word is so dealt over the words that follow it.
     """
-    words, seed = count_words(rows, least)
+    words, busy, seed = count_words(rows, least, entries)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n_words"))
     vocabulary = stored(words.filter(F.col("f") >= least).select("lang", "word", "id", "f").mapInArrow(_packed, "lang string, word string, phrase binary, f long"))
     levels = [vocabulary.select("lang", F.lit(1).alias("n"), "phrase", "f")]
     for n in range(2, longest + 1):
         keys = levels[-1].select("lang", "phrase").mapInArrow(_gram_keys(n - 1), "key long")
-        runs = rows.mapInArrow(_gram_counts(n, seed, key_filter(keys, "key"), entries, burst), _RUN)
-        merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
-        levels.append(stored(merged.filter(F.col("f") >= least).select("lang", F.lit(n).alias("n"), "phrase", "f")))
+        runs = rows.mapInArrow(_gram_counts(n, seed, key_filter(keys, "key"), busy, entries, burst, _part_bits(rows)), _RUN)
+        merged = runs.groupBy("lang", "part").applyInArrow(_merge(n, least), "lang string, phrase binary, f long")
+        levels.append(stored(merged.select("lang", F.lit(n).alias("n"), "phrase", "f")))
     phrases = levels[0]
     for level in levels[1:]:
         phrases = phrases.union(level)
