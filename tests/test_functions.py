@@ -109,3 +109,10 @@ def test_fold_offsets_point_at_their_source(source):
     assert len(norm) == len(at) and norm == norm.strip() and "  " not in norm
     for char, origin in zip(norm, at):
         assert char == " " or char in fold_with_offsets(source[origin])[0]
+
+
+def test_years_past_9999_are_dates_up_to_the_last_timestamp(spark):
+    now, months = F.lit("2001-11-05T12:00:00Z").cast("timestamp"), clock.Clock(9, 12)
+    texts = ["9999-12-05T12:00:00Z", "12001-02-28T12:00:00Z", "102000-01-05T12:00:00Z", "294247-01-05T12:00:00Z", "600000-01-05T12:00:00Z", "1234567-01-05T12:00:00Z"]
+    assert column(frame(spark, texts), clock.freshness(F.col("v"), now, months)) == ["fresh"] * 4 + ["date-unknown"] * 2
+    assert column(frame(spark, texts), clock.plus_days(clock.instant(F.col("v")), 30) > now) == [True] * 4 + [None] * 2
