@@ -94,3 +94,12 @@ def test_files_over_64_mib_have_a_digest(spark, tmp_path):
     (tmp_path / "small").write_bytes(b"abc")
     found = {r.file: (r.bytes, r.sha256) for r in shards.file_digests(spark, str(tmp_path)).collect()}
     assert found == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in (("large file", content), ("small", b"abc"))}
+
+
+def test_review_list_ends_where_its_sql_does(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["mandatory_review"](spark, "/root/testdata/sf0.1").collect()
+    keys = [(r.gtin, r.market) for r in rows]
+    assert len(rows) == 1000 and keys == sorted(keys) and {r.truncated for r in rows} == {True}
+    assert {r.total for r in rows}.pop() > 1000
