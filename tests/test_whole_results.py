@@ -103,3 +103,11 @@ def test_review_list_ends_where_its_sql_does(spark):
     keys = [(r.gtin, r.market) for r in rows]
     assert len(rows) == 1000 and keys == sorted(keys) and {r.truncated for r in rows} == {True}
     assert {r.total for r in rows}.pop() > 1000
+
+
+@pytest.mark.parametrize("name", ["project_products", "sample_snapshot"])
+def test_plans_hold_one_copy_of_a_large_literal(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert sum(line.count("x" * 4_000_000) for line in plan.toString().splitlines()) <= 1
