@@ -98,7 +98,7 @@ def barcode_search(requests: DataFrame, aliases: DataFrame, products: DataFrame)
     """Pages of products whose barcode alias starts with the digits asked for.
 
     A prefix of length n meets the first n digits of an alias, so the range scan becomes an equi
-    join on the digits; an alias has at most 14 of them.
+    join on the digits; an alias has at most 14 of them. Requests for the same digits are ranked once.
     """
     c = F.col
     keys = aliases.select("gtin", "alias", F.explode(F.sequence(F.lit(1), F.length("alias"))).alias("width"))
@@ -109,9 +109,10 @@ def barcode_search(requests: DataFrame, aliases: DataFrame, products: DataFrame)
         F.min(F.when(c("alias") == c("prefix"), 0).otherwise(1)).alias("exact_rank"),
         F.min(F.length("alias")).alias("alias_length"), F.min("alias").alias("best_alias"),
     )
-    rows = requests.select("query_id", "prefix").join(best, "prefix").join(products.select("gtin", "name"), "gtin")
+    rows = best.join(products.select("gtin", "name"), "gtin")
     order = [c("exact_rank"), c("alias_length"), c("best_alias"), nocase(c("name")), c("gtin")]
-    return cut_pages(rows, requests.select("query_id", "limit", "offset"), "query_id", order)
+    pages = requests.select("query_id", "prefix", "limit", "offset")
+    return cut_pages(rows, pages, "prefix", order, "query_id")
 
 
 def route(requests: DataFrame, max_query: int | None = None, max_page: int | None = None) -> DataFrame:

@@ -111,3 +111,15 @@ def test_plans_hold_one_copy_of_a_large_literal(spark, name):
 
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
     assert sum(line.count("x" * 4_000_000) for line in plan.toString().splitlines()) <= 1
+
+
+def test_requests_for_the_same_digits_are_ranked_once(spark, monkeypatch):
+    ranked, cut = [], search.cut_pages
+    monkeypatch.setattr(search, "cut_pages", lambda rows, *a: ranked.append(rows.count()) or cut(rows, *a))
+    gtin = F.lpad(F.col("id").cast("string"), 14, "0")
+    products = spark.range(100).select(gtin.alias("gtin"), F.lit("p").alias("name"))
+    requests = spark.range(50).select(F.concat(F.lit("q"), "id").alias("query_id"), F.lit("0000").alias("prefix"), F.lit(3).alias("limit"), (F.col("id") % 2).cast("int").alias("offset"))
+    got = search.barcode_search(requests, products.select("gtin", F.col("gtin").alias("alias")), products).collect()
+    assert ranked == [100]
+    assert sorted((r.query_id, r.gtin, r.rank) for r in got) == sorted((f"q{q}", f"{q % 2 + n:014d}", q % 2 + n + 1) for q in range(50) for n in range(3))
+    assert {r.has_more for r in got} == {True}
