@@ -6,6 +6,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,7 +68,18 @@ FOLDED = T.StructType(
 )
 
 
-@F.pandas_udf(FOLDED)
-def fold_text(texts: pd.Series) -> pd.DataFrame:
-    rows = [fold_with_offsets(t) if isinstance(t, str) else (None, None) for t in texts]
-    return pd.DataFrame({"norm": [r[0] for r in rows], "offsets": [r[1] for r in rows]})
+@F.arrow_udf(FOLDED)
+def fold_text(texts: pa.Array) -> pa.Array:
+    """Folded texts of a batch; their offsets stand in one buffer of four bytes a character, not as an object a row."""
+    norms, places, widths = [], [], []
+    for value in texts:
+        source = value.as_py()
+        norm, origin = fold_with_offsets(source) if source is not None else (None, np.empty(0))
+        norms.append(norm)
+        places.append(origin.astype(np.int32).tobytes())
+        widths.append(len(origin))
+    ends = np.concatenate(([0], np.cumsum(widths, dtype=np.int64))).astype(np.int32)
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(places))])
+    absent = pa.array([n is None for n in norms], pa.bool_())
+    offsets = pa.ListArray.from_arrays(pa.array(ends), flat, mask=absent)
+    return pa.StructArray.from_arrays([pa.array(norms, pa.string()), offsets], fields=[pa.field("norm", pa.string()), pa.field("offsets", offsets.type)])

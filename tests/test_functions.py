@@ -116,3 +116,13 @@ def test_years_past_9999_are_dates_up_to_the_last_timestamp(spark):
     texts = ["9999-12-05T12:00:00Z", "12001-02-28T12:00:00Z", "102000-01-05T12:00:00Z", "294247-01-05T12:00:00Z", "600000-01-05T12:00:00Z", "1234567-01-05T12:00:00Z"]
     assert column(frame(spark, texts), clock.freshness(F.col("v"), now, months)) == ["fresh"] * 4 + ["date-unknown"] * 2
     assert column(frame(spark, texts), clock.plus_days(clock.instant(F.col("v")), 30) > now) == [True] * 4 + [None] * 2
+
+
+def test_folding_a_batch_keeps_offsets_as_one_buffer_of_four_bytes():
+    import pyarrow as pa
+    from larder.functions.udfs import fold_text
+
+    got = fold_text.func(pa.array(["Käse, ß", None, "", "ab"]))
+    assert got.field("norm").to_pylist() == ["kase ss", None, "", "ab"]
+    assert got.field("offsets").to_pylist() == [[0, 1, 2, 3, 4, 6, 6], None, [], [0, 1]]
+    assert got.field("offsets").type.value_type == pa.int32()
