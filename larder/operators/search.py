@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from larder.functions import barcodes
 from larder.functions.udfs import fold_text
+from larder.operators.matching import spread
+from larder.session import durable
 
 # Ranking constants and column weights of the search contract.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -24,7 +26,7 @@ def nocase(value: Column) -> Column:
 def postings(products: DataFrame) -> DataFrame:
     """(gtin, field, token, tf) of names and brands, folded, with diacritics removed."""
     rows = products.select("gtin", F.explode(F.create_map(F.lit("name"), F.col("name"), F.lit("brand"), F.col("brand"))).alias("field", "text"))
-    folded = rows.filter("text is not null").select("gtin", "field", fold_text("text")["norm"].alias("norm"))
+    folded = spread(rows.filter("text is not null")).select("gtin", "field", fold_text("text")["norm"].alias("norm"))
     tokens = folded.select("gtin", "field", F.explode(F.split("norm", " ")).alias("token")).filter("token <> ''")
     return tokens.groupBy("gtin", "field", "token").agg(F.count("*").alias("tf"))
 
@@ -52,28 +54,43 @@ def text_search(queries: DataFrame, products: DataFrame, posts: DataFrame) -> Da
 
     Prefixes are resolved on the vocabulary, which is small, so postings are joined on whole tokens;
     a token is scored once however many queries use it, and queries with the same tokens are ranked
-    once. Pages are cut by rank, which Spark limits inside each task before the shuffle.
+    once. The token of a query that fewest products hold leads to its candidates, which the other tokens
+    then confirm, so a frequent token beside a rare one costs a row per candidate, not per product.
+    Pages are cut by rank, which Spark limits inside each task before the shuffle.
     """
     c = F.col
+    posts = durable(posts)
     tokens = query_tokens(queries)
     signature = F.array_sort(F.collect_list(F.struct("qtoken", "times"))).alias("terms")  # the words of one query
     signed = tokens.groupBy("query_id").agg(signature).withColumn("ask", F.sha2(F.to_json("terms"), 256))
     asks = signed.select("ask", "terms").dropDuplicates(["ask"])
-    asked = asks.select("ask", F.size("terms").alias("n_terms"), F.inline("terms"))
+    asked = durable(asks.select("ask", F.size("terms").alias("n_terms"), F.inline("terms")))
     needles = asked.select("qtoken").distinct().withColumn("prefix", F.substring("qtoken", 1, PREFIX_CHARS))
     matched = needles.join(vocabulary(posts), "prefix").filter(c("token").startswith(c("qtoken"))).select("qtoken", "token")
     weight = F.coalesce(*(F.when(c("field") == f, F.lit(w)) for f, w in WEIGHTS.items()))
-    hits = matched.join(posts, "token").groupBy("qtoken", "gtin").agg(F.sum(c("tf") * weight).alias("freq"))
+    hits = durable(matched.join(posts, "token").groupBy("qtoken", "gtin").agg(F.sum(c("tf") * weight).alias("freq")))
     df = hits.groupBy("qtoken").agg(F.count("*").alias("df"))
     lengths = doc_lengths(posts)
     stats = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
     n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
     idf = F.greatest(F.log((n - c("df") + 0.5) / (c("df") + 0.5)), F.lit(MIN_IDF))
     gain = c("freq") * (K1 + 1) / (c("freq") + K1 * (1 - B + B * c("doc_len") / avg_len))
-    scored = hits.join(df, "qtoken").join(lengths, "gtin").select("qtoken", "gtin", (idf * gain).alias("score"))
+    scored = durable(hits.join(df, "qtoken").join(lengths, "gtin").select("qtoken", "gtin", (idf * gain).alias("score")))
+    rarest = asked.join(df, "qtoken", "left").groupBy("ask").agg(
+        F.min(F.struct("df", "qtoken"))["qtoken"].alias("lead"), F.count_if(c("df").isNull()).alias("absent")
+    )
+    led = asked.join(rarest.filter("absent = 0").select("ask", "lead"), "ask")
+    first = led.filter("qtoken = lead").select("ask", "n_terms", "qtoken", "times").join(scored, "qtoken")
+    first = durable(first.select("ask", "gtin", "n_terms", (c("score") * c("times")).alias("score")))
+    others = led.filter("qtoken <> lead").select("ask", "qtoken", "times")
+    rest = (
+        first.select("ask", "gtin").join(others, "ask").join(scored, ["qtoken", "gtin"])
+        .groupBy("ask", "gtin").agg(F.count("*").alias("met"), F.sum(c("score") * c("times")).alias("more_score"))
+    )
+    whole = first.filter("n_terms > 1").join(rest, ["ask", "gtin"]).filter("met = n_terms - 1")
     rows = (
-        asked.join(scored, "qtoken").groupBy("ask", "gtin", "n_terms")
-        .agg(F.count("*").alias("met"), F.sum(c("score") * c("times")).alias("score")).filter("met = n_terms")
+        first.filter("n_terms = 1").select("ask", "gtin", "score")
+        .unionByName(whole.select("ask", "gtin", (c("score") + c("more_score")).alias("score")))
         .join(products.select("gtin", "name", "brand"), "gtin")
     )
     order = [F.desc(F.round("score", 9)), nocase(c("name")), c("gtin")]

@@ -112,6 +112,24 @@ def test_text_search_needs_every_token_and_pages(spark):
     assert got == {"q1": [("1", True), ("3", True), ("5", True)], "q2": [("7", False)], "q3": [], "q4": [(str(n), False) for n in (0, 2, 4, 6, 8)]}
 
 
+def test_frequent_tokens_cost_a_search_no_row_per_product(spark, monkeypatch):
+    """The rare token of a query leads, so only its products are scored for the query, and what the query keeps is unchanged."""
+    products = spark.range(3000).select(F.lpad(F.col("id").cast("string"), 14, "0").alias("gtin"), F.when(F.col("id") < 3, "rare bolt").otherwise("bolt").alias("name"), F.lit("acme").alias("brand"))
+    queries = spark.createDataFrame([("q1", "acme rare bolt", 9, 0), ("q2", "rare", 2, 0), ("q3", "acme absent", 9, 0)], "query_id string, query string, limit int, offset int")
+    sizes = []
+
+    def cut(df):
+        if set(df.columns) == {"ask", "gtin", "n_terms", "score"}:
+            sizes.append(df.count())
+        return df
+
+    monkeypatch.setattr(search, "durable", cut)
+    page = search.text_search(queries, products, search.postings(products)).collect()
+    assert sizes == [6]
+    got = {q: [(int(r.gtin), r.has_more) for r in sorted(page, key=lambda r: r["rank"]) if r.query_id == q] for q in ("q1", "q2", "q3")}
+    assert got == {"q1": [(0, False), (1, False), (2, False)], "q2": [(0, True), (1, True)], "q3": []}
+
+
 def test_later_queue_entry_wins_and_order_holds(spark):
     ddl = "key string, reason string, priority string, market string, gtin string, evidence_id string"
     a = spark.createDataFrame([("k1", "r", "high", "DE", "1", None), ("k2", "r", "low", "DE", "2", None)], ddl)
