@@ -220,7 +220,8 @@ def match_additives(texts: DataFrame, additives: DataFrame, names: DataFrame, na
     by_number = spread(texts.select("doc_id", "text").filter("text is not null")).mapInPandas(scan, MATCH_SCHEMA)
     live = names.join(wanted.withColumnRenamed("alias_id", "additive_id"), "additive_id", "left_semi")
     by_name = match_rules(texts, live.withColumn("match", F.lit("phrase")))
-    by_name = by_name.join(live.select("alias_id", "additive_id"), "alias_id").withColumnRenamed("alias_id", "name_id").withColumn("match_kind", F.lit("name"))
+    # The names are the list that was read for the scan; matches, whose number Spark can't guess, must not be the side that is copied.
+    by_name = by_name.join(F.broadcast(live.select("alias_id", "additive_id")), "alias_id").withColumnRenamed("alias_id", "name_id").withColumn("match_kind", F.lit("name"))
     found = by_number.withColumnRenamed("alias_id", "additive_id").withColumn("name_id", F.lit(None).cast("string")).unionByName(by_name)
     return (found if named else found.drop("name_id")).distinct()
 

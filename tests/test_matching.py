@@ -86,3 +86,11 @@ def test_additive_forms(spark):
     names = spark.createDataFrame([("n1", "E330", "en", "acid")], "alias_id string, additive_id string, language string, alias string")
     got = sorted((r.doc_id, r.additive_id, r.span, r.match_kind) for r in M.match_additives(df, additives, names).collect())
     assert got == [("1", "E330", "Acid", "name"), ("1", "E330", "E330", "e-number"), ("1", "E330", "e 3 3 0", "e-number"), ("1", "E500(ii)", "E500 (ii)", "e-number")]
+
+
+def test_additive_matches_are_not_the_copied_side_of_a_join(spark):
+    df = spark.createDataFrame([("1", "acid", "en")], "doc_id string, text string, language string")
+    additives = spark.createDataFrame([("E330", "active")], "additive_id string, status string")
+    names = spark.createDataFrame([("n1", "E330", "en", "acid")], "alias_id string, additive_id string, language string, alias string")
+    plan = M.match_additives(df, additives, names)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin .*Inner, BuildRight", plan) and not re.search(r"SortMergeJoin .*Inner", plan)
