@@ -7,6 +7,7 @@ import os
 import pickle
 import re
 import tempfile
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from larder.functions import ids
 from larder.functions.udfs import fold_text, fold_with_offsets
-from larder.session import durable
 
 ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 MATCH_SCHEMA = "doc_id string, alias_id string, start int, end int, span string, match_kind string"
@@ -166,21 +166,66 @@ def drop_overlapping(matches: DataFrame, excluded: DataFrame, width: int = 64) -
     return matches.join(hit.select(*spans).distinct(), spans, "left_anti")
 
 
+def _joined_up(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that the spans cover, ascending and apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def rule_findings(texts: DataFrame, aliases: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Distinct findings (doc_id, rule_id, outcome, queue, reason_code, start, end, span).
+    """Distinct findings (doc_id, start, end, span, match_kind, rule_id, outcome, queue, reason_code).
 
     ``contexts`` (alias_id, rule_id, language, alias) are phrases that excuse a hit they overlap,
-    wherever their letters stand, inside words too. Both are looked for in one pass over the texts.
+    wherever their letters stand, inside words too. Both are looked for in one pass over the texts, and
+    a text's hits meet its excuses in that pass, so only findings are shuffled, once.
     """
     rules = aliases.select("alias_id", "rule_id", "outcome", "queue", "reason_code")
-    tagged = aliases.select(F.concat(F.lit("hit:"), "alias_id").alias("alias_id"), "language", "alias", "match").unionByName(
-        contexts.select(F.concat(F.lit("not:"), "alias_id").alias("alias_id"), "language", "alias", F.lit("anywhere").alias("match"))
+    tagged = aliases.select(F.concat(F.lit("hit:"), "alias_id").alias("alias_id"), "language", "alias", "match", "rule_id").unionByName(
+        contexts.select(F.concat(F.lit("not:"), "alias_id").alias("alias_id"), "language", "alias", F.lit("anywhere").alias("match"), "rule_id")
     )
-    found = match_rules(texts, tagged).withColumn("hit", F.col("alias_id").startswith("hit:")).withColumn("alias_id", F.substr("alias_id", F.lit(5)))
-    found = durable(found)
-    hits = found.filter("hit").drop("hit").join(rules, "alias_id")
-    excused = found.filter("not hit").drop("hit").join(contexts.select("alias_id", "rule_id"), "alias_id")
-    return drop_overlapping(hits, excused).drop("alias_id").distinct()
+    listed = _shipped(tagged.filter("alias_id is not null"), ["alias_id", "language", "alias", "match", "rule_id"])
+    columns = ["doc_id", "alias_id", "rule_id", "start", "end", "span", "match_kind"]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entries = listed.load()
+        matcher = Matcher(sorted({e[:4] for e in entries}, key=repr))
+        rule_ids: dict[str, set] = {}
+        for alias, *_, rule in entries:
+            rule_ids.setdefault(alias, set()).add(rule)
+        for batch in batches:
+            out = []
+            for doc, source, language in zip(batch.doc_id, batch.text, batch.language):
+                norm, at = fold_with_offsets(source)
+                base = (language or "").split("-")[0].casefold()
+                hits, excused = set(), {}
+                for alias, kind, start, end in matcher.find(norm, base):
+                    first, last = int(at[start]), int(at[end - 1]) + 1
+                    for rule in rule_ids[alias]:
+                        if alias.startswith("hit:"):
+                            hits.add((alias[4:], rule, first, last, kind))
+                        elif rule is not None:
+                            excused.setdefault(rule, []).append((first, last))
+                places = {rule: _joined_up(spans) for rule, spans in excused.items()}
+                for alias, rule, first, last, kind in hits:
+                    starts, ends = places.get(rule, ((), ()))
+                    before = bisect_left(starts, last)
+                    if not before or ends[before - 1] <= first:
+                        out.append((doc, alias, rule, first, last, source[first:last], kind))
+            yield pd.DataFrame(out, columns=columns)
+
+    rows = spread(texts.select("doc_id", "text", "language").filter("text is not null"))
+    found = rows.mapInPandas(scan, "doc_id string, alias_id string, rule_id string, start int, end int, span string, match_kind string")
+    # The rules are the list that was read for the scan; found rows, whose number Spark can't guess, must not be the side that is copied.
+    same = (found.alias_id == rules.alias_id) & found.rule_id.eqNullSafe(rules.rule_id)
+    named = found.join(F.broadcast(rules), same).drop(rules.alias_id, rules.rule_id)
+    return named.select("doc_id", "start", "end", "span", "match_kind", "rule_id", "outcome", "queue", "reason_code").distinct()
 
 
 def match_additives(texts: DataFrame, additives: DataFrame, names: DataFrame, named: bool = False) -> DataFrame:

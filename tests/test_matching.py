@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from larder.functions.udfs import fold_with_offsets
 from larder.operators import matching as M
 
@@ -88,6 +90,21 @@ def test_additive_forms(spark):
     assert got == [("1", "E330", "Acid", "name"), ("1", "E330", "E330", "e-number"), ("1", "E330", "e 3 3 0", "e-number"), ("1", "E500(ii)", "E500 (ii)", "e-number")]
 
 
+def test_excused_hits_are_dropped_in_the_scan_and_findings_shuffled_once(spark):
+    df = spark.createDataFrame(texts(7, 80), "doc_id string, text string, language string")
+    aliases = spark.createDataFrame([(*a, "o", "q", "c") for a in ALIASES], "alias_id string, rule_id string, language string, alias string, match string, outcome string, queue string, reason_code string")
+    contexts = spark.createDataFrame([("c1", "r1", "und", "pork fat"), ("c2", "r3", "en", "xpork e")], "alias_id string, rule_id string, language string, alias string")
+    found = M.rule_findings(df, aliases, contexts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "checkpoint" not in plan
+    every = lambda a, kind=None: a.select("alias_id", "language", "alias", *([F.lit(kind).alias("match")] if kind else ["match"]))
+    hits = M.match_rules(df, every(aliases)).join(aliases.select("alias_id", "rule_id", "outcome", "queue", "reason_code"), "alias_id")
+    excused = M.match_rules(df, every(contexts, "anywhere")).join(contexts.select("alias_id", "rule_id"), "alias_id")
+    want = M.drop_overlapping(hits, excused).select(*found.columns).distinct()
+    assert 0 < want.count() < hits.select(*found.columns).distinct().count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_additive_matches_are_not_the_copied_side_of_a_join(spark):
     df = spark.createDataFrame([("1", "acid", "en")], "doc_id string, text string, language string")
     additives = spark.createDataFrame([("E330", "active")], "additive_id string, status string")
