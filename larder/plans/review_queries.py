@@ -12,6 +12,7 @@ from larder.plans.evidence import ALL, Envelope
 from larder.plans.inputs import AS_OF, Inputs, array_of, day, view
 from larder.plans.quality_queries import AT, ts
 from larder.plans.registry import query
+from larder.session import durable
 
 VERSION = "1.0.0"
 
@@ -177,7 +178,7 @@ def methodology_totals(i: Inputs):
 
 @query("stale_analysis")
 def stale_analysis(i: Inputs):
-    current = report(i).select("selection_id", "digest")
+    current = durable(report(i).select("selection_id", "digest"))
     k = F.substring("selection_id", 5, 20).cast("bigint")
     stored = current.filter(k % 10 != 9).select(
         "selection_id", F.when(k % 4 == 0, F.sha2("selection_id", 256)).otherwise(F.col("digest")).alias("digest")
