@@ -27,3 +27,19 @@ def test_prices_store_only_what_is_read(spark):
         (2, 1): "non-product", (2, 2): "included", (2, 3): "duplicate", (3, 1): "included",
     }
     assert prices.resolve_price_ids(joined).filter("fate = 'included'").select("alias").distinct().count() == 1
+
+
+def test_catalog_tables_are_built_when_read(spark, monkeypatch):
+    from larder.operators import catalog
+    from larder.plans.catalog_queries import tables
+    from larder.plans.inputs import Inputs
+
+    numbered = []
+    by_ranges = catalog.ordinal_by_ranges
+    monkeypatch.setattr(catalog, "ordinal_by_ranges", lambda *a: numbered.append(a[1]) or by_ranges(*a))
+    t = tables(Inputs(spark, "/root/testdata/sf0.001"))
+    counts = {r.key: int(r.value) for r in catalog.manifest(t).filter("metric = 'count'").collect()}
+    catalog.integrity(t)
+    assert not numbered and len(counts) == len(t) == 9
+    assert t["retailer_evidence"].count() == counts["retailer_evidence"] > 0 and "position" in t["retailer_evidence"].columns
+    assert len(numbered) == 1
