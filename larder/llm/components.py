@@ -25,3 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "component")
         if moved.filter("old <> component").isEmpty():
             return labels
+
+
+def merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after further links (a, b): those between two components are the edges, once each."""
+    of_a, of_b = (component.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}")) for s in "ab")
+    edges = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(stored(edges.filter("a <> b").distinct()))
+    up = joined.select(F.col("node").alias("component"), F.col("component").alias("up"))
+    moved = component.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return stored(moved.union(joined.join(component, "node", "left_anti").select("node", "component")))

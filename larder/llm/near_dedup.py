@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.components import components
+from larder.llm.components import components, merged
 from larder.llm.store import key_filter, may_hold, stored, text_key
 from larder.llm.words import SPACED, WORD_BASE, Powers, Texts, mix, ramp, slices
 
@@ -20,6 +20,7 @@ MINIMA = 3  # k-mers of a sketch entry
 ENTRIES = 40
 SIMILAR = 0.9  # at this edit similarity two texts share an entry with a chance of 0.95, above it with more
 PAIRS, CELLS = 512, 1_000_000  # pairs, and cells of their bands, that a task aligns at once
+TURNS = 3  # times that crowded nodes are aligned with one other each, before all that are still apart
 SIGNATURE, NEIGHBOURS = 1024, 2048  # bits that tell which words a text has, and which pairs of neighbouring words
 _SPARE = 8  # looks at about so many times MINIMA k-mers for each entry, and at all where these don't do
 
@@ -284,8 +285,9 @@ def near_duplicates(
     that which shares most entries with it, then with the others that are still in another component:
     pairs inside one component could add no class. Buckets that then still hold several
     components are refined: their nodes meet again by their rarest words (``rare_words``), of which any
-    two that can be linked share one, so texts that only have a common passage part. There the nodes
-    outside the largest component of a bucket are aligned with those of other components. Before any
+    two that can be linked share one, so texts that only have a common passage part. There each node is aligned
+    a few times with the one lead that shares most of its rare words, which joins most of a large group with a row a
+    node, and then the nodes outside the largest component of a bucket with all those of other components. Before any
     alignment a pair is dropped if the lengths, or the words that one of the texts alone has, need more
     edits than a link allows. So every candidate pair that could change a class is decided.
 
@@ -321,12 +323,12 @@ def near_duplicates(
     of = nodes.join(in_question.select("node"), "node", "left_semi").select("node", "n_words", "words")
     side = lambda table, s, *more: table.select(F.col("node").alias(s), F.col("n_words").alias(f"n_{s}"), F.col("words").alias(f"words_{s}"), *more)
 
-    def in_reach(pairs: DataFrame) -> DataFrame:
-        """The pairs (lead, b, n) that can be linked. Lengths first: the signatures of most pairs that share a passage alone need not be joined."""
+    def in_reach(pairs: DataFrame, *more: str) -> DataFrame:
+        """The pairs (lead, b, n) that can be linked, as (a, b). Lengths first: the signatures of most pairs that share a passage alone need not be joined."""
         alike = F.least("n", "n_a") >= similar * F.greatest("n", "n_a") - 1e-9
         near = pairs.join(side(of, "a"), (F.col("lead") == F.col("a")) & alike).drop("lead", "n")
         near = near.join(side(of, "b").withColumnRenamed("b", "other"), (F.col("b") == F.col("other")) & _in_reach(similar, "a", "b"))
-        return stored(near.select("a", "b"))
+        return stored(near.select("a", "b", *more))
 
     to_lead = members.filter("node <> lead").groupBy("lead", F.col("node").alias("b"), F.col("n_words").alias("n")).agg(F.count("*").alias("shared"))
     to_lead = stored(to_lead)
@@ -339,24 +341,42 @@ def near_duplicates(
     of_b = labelled(to_lead.select("lead", "n", F.col("b").alias("node")), component).withColumnsRenamed({"node": "b", "component": "of_b"})
     apart = labelled(of_b.withColumnRenamed("lead", "node"), component).filter("component <> of_b").select(F.col("node").alias("lead"), "b", "n")
     more = stored(in_reach(apart).join(tried, ["a", "b"], "left_anti"))
-    links = stored(links.union(linked(more)))
+    component = merged(component, linked(more))
     tried = tried.union(more)
-    component = components(links)
 
-    placed = stored(labelled(members.select("bucket", "node"), component))
-    # a bucket of two has no further pair
-    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("z"), F.count("*").alias("n")).filter("x < z and n > 2").select("bucket")
-    mixed = stored(placed.join(split, "bucket"))
-    main = mixed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main")).select("bucket", F.col("main.component").alias("main"))
-    crowd = mixed.join(main, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
-    crowd = stored(crowd.join(of, "node"))
-    rare = stored(rare_words(texts.join(crowd.select("node"), "node", "left_semi"), similar).join(crowd, "node"))
+    def crowded(component: DataFrame) -> DataFrame:
+        """(node, component, outside): nodes of buckets that hold several components, and whether one of these has a larger one."""
+        placed = stored(labelled(members.select("bucket", "node"), component))
+        # a bucket of two has no further pair
+        split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("z"), F.count("*").alias("n")).filter("x < z and n > 2").select("bucket")
+        mixed = stored(placed.join(split, "bucket"))
+        main = mixed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main")).select("bucket", F.col("main.component").alias("main"))
+        return stored(mixed.join(main, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside")))
+
+    rare = stored(rare_words(texts.join(crowded(component).select("node"), "node", "left_semi"), similar))
+    for turn in range(TURNS):
+        at = labelled(rare, component)
+        chosen = at.groupBy("token").agg(F.max_by(F.struct(F.col("node").alias("lead"), F.col("component").alias("of_lead")), F.xxhash64("node", F.lit(turn))).alias("c")).select("token", "c.*")
+        met = at.join(chosen, "token").filter("component <> of_lead").groupBy("lead", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+        met = met.join(of.select(F.col("node").alias("b"), F.col("n_words").alias("n")), "b")
+        near = in_reach(met, "shared").join(tried, ["a", "b"], "left_anti")
+        turned = stored(near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b"))
+        component = merged(component, linked(turned))
+        tried = tried.union(turned)
+
+    rare = rare.join(crowded(component), "node").join(of, "node")
     outside = side(rare.filter("outside"), "a", "token", F.col("component").alias("of_a"))
-    others = side(rare, "b", F.col("token").alias("in"), F.col("component").alias("of_b"))
-    across = outside.join(others, (F.col("token") == F.col("in")) & (F.col("of_a") != F.col("of_b")) & _in_reach(similar, "a", "b"))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(linked(across.join(tried, ["a", "b"], "left_anti")))
-    component = components(links)
+    others = side(rare, "b", F.col("token").alias("in"), F.col("component").alias("of_b"), F.col("outside").alias("twice"))
+    once = ~F.col("twice") | (F.col("a") < F.col("b"))
+    across = outside.join(others, (F.col("token") == F.col("in")) & (F.col("of_a") != F.col("of_b")) & once & _in_reach(similar, "a", "b"))
+    across = stored(across.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared")))
+    across = stored(across.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    # the pair that shares most of each node, then what is still apart
+    first = across.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", "m.b")
+    component = merged(component, linked(first))
+    left = labelled(across.join(first, ["a", "b"], "left_anti").withColumnRenamed("a", "node"), component).withColumnsRenamed({"node": "a", "component": "of_a"})
+    left = labelled(left.withColumnRenamed("b", "node"), component).filter("component <> of_a").select("a", F.col("node").alias("b"))
+    component = merged(component, linked(left))
 
     of_node = labelled(nodes.select("text_key", "node", "first", "copies"), component)
     classes = of_node.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))

@@ -107,6 +107,20 @@ def test_components(spark):
     assert got == sorted([(i, 0) for i in range(41)] + [(i, 100) for i in (100, 101, 102)] + [(200, 200), (300, 200)], key=repr)
 
 
+def test_further_links_join_components_and_cost_an_edge_each(spark, monkeypatch):
+    from larder.llm import components as module
+
+    first = [(i, i + 1) for i in range(0, 20)] + [(100, 101), (200, 201)]
+    more = [(i, j) for i in range(21) for j in range(i)] + [(i, 100 + i % 2) for i in range(21)] + [(300, 301), (101, 300)]
+    table = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    edges, plain = [], module.components
+    before = plain(table(first))
+    monkeypatch.setattr(module, "components", lambda e: edges.append(e.count()) or plain(e))
+    got = rows(module.merged(before, table(more)), "node", "component")
+    assert got == rows(plain(table(first + more)), "node", "component")
+    assert edges == [3]  # of 233 links
+
+
 def edited(words, rng, edits):
     words = list(words)
     for _ in range(edits):
