@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import prices
+from larder.plans.registry import QUERIES
 from larder.session import durable
 
 
@@ -43,3 +44,15 @@ def test_catalog_tables_are_built_when_read(spark, monkeypatch):
     assert not numbered and len(counts) == len(t) == 9
     assert t["retailer_evidence"].count() == counts["retailer_evidence"] > 0 and "position" in t["retailer_evidence"].columns
     assert len(numbered) == 1
+
+
+def test_candidates_are_built_once(spark, monkeypatch):
+    """Several outputs of one run, two policies and three rankings read stored rows, not the raw products again."""
+    from larder.plans import selections
+
+    calls, build = [], selections.candidates
+    monkeypatch.setattr(selections, "candidates", lambda i: calls.append(i) or build(i))
+    for name in ("decision_changes", "top_values", "selection_outputs"):
+        calls.clear()
+        out = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1 and not any(f.endswith("part.parquet") for f in out.inputFiles()), name
