@@ -63,8 +63,8 @@ select doc_id, length(norm) as length, sha256(norm) as norm_hash, length(regexp_
 )
 def fold_text_with_offsets(i: Inputs):
     folded = M.folded_texts(i.view("note"))
-    return folded.select("doc_id", F.length("norm").alias("length"), F.sha2("norm", 256).alias("norm_hash"),
-                         F.element_at("offsets", -1).alias("last_offset"))
+    last = F.coalesce(F.try_element_at("offsets", F.lit(-1)), F.when(F.col("norm").isNotNull(), -1))  # a text without letters has none
+    return folded.select("doc_id", F.length("norm").alias("length"), F.sha2("norm", 256).alias("norm_hash"), last.alias("last_offset"))
 
 
 _FOLD = r"lower(strip_accents(nfc_normalize(replace(lower({x}), 'ß', 'ss'))))"
