@@ -21,3 +21,8 @@ def compare(spark, folder, name, texts):
 
 def test_texts_without_letters_are_folded(spark, tmp_path):
     compare(spark, tmp_path, "fold_text_with_offsets", BLANK)
+
+
+def test_texts_are_cleaned_as_in_the_sql(spark, tmp_path):
+    rare = ["\x1b[31mred\x1b[0m", "\u3000x\u2003\u2003y\u3000", "\u00a0\u00a0x\u00a0", "a\u0085b", "\x1c q\x1d \x7f", "\u200b\u2028", "x" * 159 + " \u2003 y"]
+    compare(spark, tmp_path, "clean_text", BLANK + rare)
