@@ -56,3 +56,41 @@ def test_candidates_are_built_once(spark, monkeypatch):
         calls.clear()
         out = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(calls) == 1 and not any(f.endswith("part.parquet") for f in out.inputFiles()), name
+
+
+def test_serving_projection_stores_what_it_reads_twice(spark, monkeypatch):
+    """Counts, products and sources read stored rows: the children's join, the largest, is made once."""
+    from larder.operators import evidence
+    from larder.plans.evidence import Envelope
+    from larder.plans.inputs import Inputs
+
+    stored, store = [], evidence.durable
+    monkeypatch.setattr(evidence, "durable", lambda df: stored.append(df.columns) or store(df))
+    products, _, used = evidence.serving_projection(Envelope(Inputs(spark, "/root/testdata/sf0.001")))
+    assert stored[0] == ["selection_id", "kind", "source_key"] and "certifications" in stored[1] and len(stored) == 2
+    assert not any(f.endswith("lineitem.parquet") for df in (products, used) for f in df.inputFiles())
+
+
+def test_sizes_of_files_do_not_decide_on_copies(spark, tmp_path):
+    """A column of few values is small as a file and large as rows: it is not the copied side of a join until AQE has measured it."""
+    from larder.session import COPIED_UNREAD, tune
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        spark.conf.set(keys[0], "10MB")
+        spark.conf.unset(keys[1])
+        wide = ", ".join(f"'{'x' * 60}' as c{n}" for n in range(40))
+        spark.sql(f"select id, {wide} from range(400000)").write.parquet(f"{tmp_path}/few")
+        rows = tune(spark).read.parquet(f"{tmp_path}/few")
+        joined = spark.range(10_000_000).join(rows, "id")
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        assert COPIED_UNREAD < size < 10 << 20
+        assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+        assert [int(spark.conf.get(k)) for k in keys] == [COPIED_UNREAD, 10 << 20]
+        for own in ("65536", "-1"):  # a session that asks for less keeps it
+            spark.conf.set(keys[0], own)
+            assert tune(spark).conf.get(keys[0]) == own
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
