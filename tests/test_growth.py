@@ -73,7 +73,7 @@ def test_serving_projection_stores_what_it_reads_twice(spark, monkeypatch):
 
 def test_sizes_of_files_do_not_decide_on_copies(spark, tmp_path):
     """A column of few values is small as a file and large as rows: it is not the copied side of a join until AQE has measured it."""
-    from larder.session import COPIED_UNREAD, tune
+    from larder.session import COPIED_MEASURED, COPIED_UNREAD, tune
 
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     before = [spark.conf.get(k, None) for k in keys]
@@ -87,10 +87,25 @@ def test_sizes_of_files_do_not_decide_on_copies(spark, tmp_path):
         size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         assert COPIED_UNREAD < size < 10 << 20
         assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
-        assert [int(spark.conf.get(k)) for k in keys] == [COPIED_UNREAD, 10 << 20]
+        assert [int(spark.conf.get(k)) for k in keys] == [COPIED_UNREAD, COPIED_MEASURED]
         for own in ("65536", "-1"):  # a session that asks for less keeps it
             spark.conf.set(keys[0], own)
             assert tune(spark).conf.get(keys[0]) == own
     finally:
         for k, v in zip(keys, before):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_observations_store_accepted_prices_alone(spark, monkeypatch):
+    """Each check drops its rows before the next join; what is left equals the accepted rows of the whole join."""
+    from larder.plans.inputs import Inputs
+    from larder.plans.price_queries import joined
+
+    i, read = Inputs(spark, "/root/testdata/sf0.001"), ["gtin", "retailer_key", "osm_address_city", "country", "proof_type", "location_id", "proof_id", "price"]
+    columns = ["id", "line", "price_payload", "reject", *read]
+    every = joined(i).filter("reject is null").select(*columns)
+    assert sorted(map(str, joined(i, read).select(*columns).collect())) == sorted(map(str, every.collect()))
+    stored, store = [], prices.durable
+    monkeypatch.setattr(prices, "durable", lambda df: stored.append(store(df)) or stored[-1])
+    QUERIES["retailer_observations"](spark, "/root/testdata/sf0.001")
+    assert [df.count() for df in stored if "price_payload" in df.columns] == [every.count()]
