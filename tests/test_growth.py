@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import prices
@@ -109,3 +110,21 @@ def test_observations_store_accepted_prices_alone(spark, monkeypatch):
     monkeypatch.setattr(prices, "durable", lambda df: stored.append(store(df)) or stored[-1])
     QUERIES["retailer_observations"](spark, "/root/testdata/sf0.001")
     assert [df.count() for df in stored if "price_payload" in df.columns] == [every.count()]
+
+
+@pytest.mark.parametrize("name", ["submission_to_evidence"])
+def test_unread_sizes_make_no_copies(spark, monkeypatch, name):
+    """With the bound for sizes of files at nothing, no join of the query is planned with a copied side; before, 10 MB of file were copied."""
+    import __spark_entry__  # noqa: F401  (registers the queries)
+    from larder import session
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        spark.conf.set(keys[0], "10MB")
+        monkeypatch.setattr(session, "COPIED_UNREAD", 0)
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
