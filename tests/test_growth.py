@@ -112,7 +112,7 @@ def test_observations_store_accepted_prices_alone(spark, monkeypatch):
     assert [df.count() for df in stored if "price_payload" in df.columns] == [every.count()]
 
 
-@pytest.mark.parametrize("name, hinted", [("submission_to_evidence", 0), ("logical_projection", 0), ("product_detail_children", 0), ("methodology_totals", 1)])
+@pytest.mark.parametrize("name, hinted", [("submission_to_evidence", 0), ("logical_projection", 0), ("product_detail_children", 0), ("methodology_totals", 1), ("stale_analysis", 2)])
 def test_unread_sizes_make_no_copies(spark, monkeypatch, name, hinted):
     """With the bound for sizes of files at nothing, no join of the query is planned with a copied side but those of the rules; before, 10 MB of file were copied."""
     import __spark_entry__  # noqa: F401  (registers the queries)
